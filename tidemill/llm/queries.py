@@ -8,7 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm import languages, media, pii, toxicity
+from tidemill.llm.cluster import new_path
 from tidemill.llm.decontaminate import containment_pairs
+from tidemill.llm.mixing import MIX_SQL, mix
+from tidemill.llm.pages import main_text
 from tidemill.llm.sharding import shard_rows
 from tidemill.llm.simhash import simhash_components
 from tidemill.llm.substrings import repeated_passages
@@ -24,6 +28,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mix(table(spark, sf_dir, "documents"), share=0.5, max_epochs=4)
+    plain = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
+    return taken.select("doc_id", F.col("_domain").alias("domain"), *plain, F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -33,14 +43,50 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5))
+    filters = languages.fit(docs, fold != 0)
+    return languages.identify(docs, filters).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "media")
+    media.store(table(spark, sf_dir, "documents"), path)
+    found = media.media_features(media.read_media(spark, path))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", toxicity.severity_column(model, docs, F.col("text")).alias("x"))
+    return out.select("doc_id", F.col("x.severity").alias("severity"), F.col("x.p_toxic").alias("p_toxic"), (F.col("x.p_toxic") >= toxicity.REJECT).alias("rejected"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.train(docs)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_mix": op2_mix,
     "op3_simhash": op3_simhash,
     "op4_feistel_shards": op4_feistel_shards,
+    "op5_page_text": op5_page_text,
+    "op6_languages": op6_languages,
     "op7_substrings": op7_substrings,
+    "op8_media": op8_media,
+    "op9_toxicity": op9_toxicity,
+    "op10_personal_data": op10_personal_data,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mix": MIX_SQL}
