@@ -1,17 +1,17 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 Features are the words of a text (lower-cased letters) and their first ``PREFIX`` bytes, hashed, with
-value log(1 + count). One weight vector is shared by all thresholds: P(grade <= k) =
+value 1 if present, so that a word said once counts whatever the length of the text. One weight vector is shared by all thresholds: P(grade <= k) =
 sigmoid(theta_k - w.x) with theta_1 < theta_2 < ..., and the output is the expected severity, the
 sum over k of P(grade > k).
 
 Labels say only whether a text is toxic. Grade 0 is a text that isn't; toxic texts get grades 1 to 3
-by terciles of the share of their words that the labels mark as abusive (words and prefixes whose
-odds of a toxic text are at least ``MARK`` times the usual), so severity orders texts by how much of
-them is abuse.
+by terciles of how many different features they have that the labels mark as abusive (those whose odds
+of a toxic text are at least ``MARK`` times the usual), so severity orders texts by how much abuse they
+hold.
 
 The model is fitted on at most ``SAMPLE`` labelled texts, chosen by hash (a documented bound), on the
-``FEATURES`` features most associated with the labels by chi-square; every text is then scored whole.
+``FEATURES`` features most associated with the labels (chi-square of ``CHI`` or more); every text is then scored whole.
 Defined results: a null or empty text has no features and gets the severity of the intercepts alone;
 labels of unknown documents are ignored, conflicting labels count as toxic; without both kinds of
 label nothing is rejected.
@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from tidemill.llm import kernel
 from tidemill.llm.languages import letters
 
-SAMPLE, FEATURES, PREFIX, MARK, GRADES = 8000, 4096, 5, 8.0, 4
-#: A text is rejected if P(grade >= 1) reaches this.
-REJECT = 0.5
+SAMPLE, FEATURES, PREFIX, CHI, MARK, GRADES = 8000, 4096, 5, 30.0, 8.0, 4
+#: A text is rejected if P(grade >= 1) reaches this: one abusive word is enough evidence, though most toxic texts have several.
+REJECT = 0.12
 
 
-def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of rows: first row, then (row, feature, count) of the slice's features.
+def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For slices of rows: first row, then rows and features of the slice's features.
 
     The low bit of a feature tells prefixes from words.
     """
@@ -53,8 +53,8 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
         f = np.concatenate([w.hash & ~np.uint64(1), kernel.mix(code + np.uint64(7)) | np.uint64(1)])
         row = np.concatenate([w.row, w.row])
         key = f ^ kernel.mix(row.astype(np.uint64) + np.uint64(1)) if j - i > 1 else f
-        _, at, n = np.unique(key, return_index=True, return_counts=True)
-        yield i, row[at], f[at], n
+        _, at = np.unique(key, return_index=True)
+        yield i, row[at], f[at]
 
 
 @dataclass
@@ -69,17 +69,16 @@ class Ordinal:
         """Expected severity and P(grade >= 1) of every text."""
         dot = np.zeros(len(texts))
         if len(self.ids):
-            for i, row, f, n in features(texts):
+            for i, row, f in features(texts):
                 at = np.minimum(np.searchsorted(self.ids, f), len(self.ids) - 1)
                 hit = self.ids[at] == f
-                add = self.weights[at[hit]] * np.log1p(n[hit])
-                part = np.bincount(row[hit], weights=add)
+                part = np.bincount(row[hit], weights=self.weights[at[hit]])
                 dot[i : i + len(part)] += part
         above = 1 / (1 + np.exp(np.clip(self.theta[None, :] - dot[:, None], -500, 500)))
         return above.sum(axis=1), above[:, 0]
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, width: int, grades: int = GRADES, l2: float = 0.5, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, width: int, grades: int = GRADES, l2: float = 0.05, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch gradient descent with momentum (Adam); deterministic.
 
     Thresholds are theta_1 plus running sums of exponentials, so they stay in order.
@@ -129,22 +128,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic = b.column("_toxic").to_numpy(zero_copy_only=False)
-            for i, row, f, n in features(b.column("_t")):
+            for i, row, f in features(b.column("_t")):
                 by = np.argsort(row, kind="stable")
                 cut = np.searchsorted(row[by], np.arange(row.max() + 2))
-                f, n = f[by], n[by]
+                f = f[by]
                 for r in range(len(cut) - 1):
                     a, z = cut[r], cut[r + 1]
                     if z > a:
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([int(toxic[i + r])], pa.int32()), pa.array([f[a:z].tobytes()]), pa.array([n[a:z].astype(np.int32).tobytes()])], names=["toxic", "f", "n"]
+                            [pa.array([int(toxic[i + r])], pa.int32()), pa.array([f[a:z].tobytes()])], names=["toxic", "f"]
                         )
 
-    got = few.mapInArrow(scan, "toxic int, f binary, n binary").collect()
-    return _learn([(r["toxic"], np.frombuffer(r["f"], np.uint64), np.frombuffer(r["n"], np.int32)) for r in got])
+    got = few.mapInArrow(scan, "toxic int, f binary").collect()
+    return _learn([(r["toxic"], np.frombuffer(r["f"], np.uint64)) for r in got])
 
 
-def _learn(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Ordinal:
+def _learn(rows: list[tuple[int, np.ndarray]]) -> Ordinal:
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))  # whatever order the tasks ended in
     toxic = np.array([r[0] for r in rows], np.int64)
     none = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 500.0))
@@ -152,7 +151,6 @@ def _learn(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Ordinal:
         return none
     ids, inverse = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    count = np.concatenate([r[2] for r in rows])
     df = np.bincount(inverse, minlength=len(ids))
     pos = np.bincount(inverse, weights=toxic[owner], minlength=len(ids))
     n, p = len(rows), toxic.mean()
@@ -161,21 +159,19 @@ def _learn(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Ordinal:
     chi = (pos - expect) ** 2 / np.maximum(expect * (1 - p) * np.maximum(1 - df / n, 1e-9), 1e-9)
     chi[df < 3] = 0
     keep = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    keep = keep[chi[keep] > 4]
+    keep = keep[chi[keep] >= CHI]
     if not len(keep):
         return none
     odds = ((pos + 0.5) / (toxic.sum() + 1)) / ((df - pos + 0.5) / (n - toxic.sum() + 1))
-    abusive = (odds >= MARK) & (chi > 10) & ((ids & np.uint64(1)) == 0)
-    abuse = np.bincount(owner, weights=abusive[inverse] * count, minlength=n)
-    words = np.bincount(owner, weights=((ids[inverse] & np.uint64(1)) == 0) * count, minlength=n)
-    density = abuse / np.maximum(words, 1)
-    cuts = np.quantile(density[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, density, side="left"), 0)
+    abusive = (odds >= MARK) & (chi >= CHI)
+    abuse = np.bincount(owner, weights=abusive[inverse], minlength=n)
+    cuts = np.quantile(abuse[toxic == 1], [1 / 3, 2 / 3])
+    grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, abuse, side="left"), 0)
     place = np.full(len(ids), -1)
     place[keep] = np.arange(len(keep))
     col = place[inverse]
     used = col >= 0
-    w, theta = fit_ordinal(owner[used], col[used], np.log1p(count[used]), grade, len(keep))
+    w, theta = fit_ordinal(owner[used], col[used], np.ones(int(used.sum())), grade, len(keep))
     return Ordinal(ids[keep], w, theta)
 
 
