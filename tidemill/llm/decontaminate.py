@@ -245,3 +245,8 @@ def contaminated_column(text: Column, items: DataFrame, item_id: str = "item_id"
         return F.arrow_udf(of, "boolean")(text)
 
     return reduce(lambda a, b: a | b, [test(rows) for rows in blocks_of(items, item_id, item_text, block, block_bytes)], F.lit(False))
+
+
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that hold no item at the threshold, with the input's columns."""
+    return docs.where(~contaminated_column(F.col(text_col), items))

@@ -133,6 +133,12 @@ def mix(
     return out.select(*docs.columns, F.col(d).alias("_domain"), F.col(tokens).alias("_tokens"), F.col(copies).cast("long").alias("_copies"))
 
 
+def repeat_copies(mixed: DataFrame) -> DataFrame:
+    """The taken rows with the input's columns alone, each as often as it was taken."""
+    plain = [c for c in mixed.columns if c not in ("_domain", "_tokens", "_copies")]
+    return mixed.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*plain)
+
+
 #: The same result in SQL, for unique ids: (doc_id, domain, lang, source, n_tokens, copies).
 MIX_SQL = r"""
 WITH words AS (

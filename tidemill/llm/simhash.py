@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import kernel
-from tidemill.llm.cluster import held
+from tidemill.llm.cluster import fresh, held
 from tidemill.llm.components import components
 
 SHINGLE, RADIUS, BLOCKS, TILE = 3, 2, 4, 4096
@@ -240,3 +240,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = near_groups(prints, id_col, radius)
     out = prints.join(groups, "fp", "left")
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with all its columns: the least id (nulls last), then the least text hash.
+
+    Of rows that agree in id and text one stays. They are merged before the join, partly on the map
+    side, so that a text with very many copies does not gather in one task.
+    """
+    k, h = fresh(docs, "k", "h")
+    keys = [F.xxhash64(F.col(id_col)).alias(k), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(h)]
+    light = held(docs.select(F.col(id_col).alias("id"), *keys, fingerprint_column(F.col(text_col), shingle).alias("fp")))
+    first = light.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", h, k)).alias("first"))
+    tied = components(links(first.select("fp"), radius)).withColumnRenamed("node", "fp")
+    whole = first.join(tied, "fp", "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first"))
+    stay = whole.select(F.col(f"first.{k}").alias(k), F.col(f"first.{h}").alias(h))
+    rows = docs.select(*docs.columns, *keys).dropDuplicates([k, h])
+    return rows.join(stay, [k, h], "left_semi").select(*docs.columns)

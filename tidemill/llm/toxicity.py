@@ -184,3 +184,9 @@ def severity_column(model: Ordinal, docs: DataFrame, text: Column) -> Column:
         return pa.StructArray.from_arrays([pa.array(s), pa.array(p)], names=["severity", "p_toxic"])
 
     return F.arrow_udf(of, "severity double, p_toxic double")(text)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bar: float = REJECT) -> DataFrame:
+    """The rows whose probability of any toxic grade is below the bar, with the input's columns."""
+    model = train(docs, labels, id_col, text_col)
+    return docs.where(severity_column(model, docs, F.col(text_col))["p_toxic"] < bar)
