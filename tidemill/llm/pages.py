@@ -36,6 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.cluster import held
 from tidemill.llm.sharding import numbered
 
 BLOCK = 512
@@ -305,7 +306,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.col(html_col).alias("page"),
     )
     light = base.select("url", "page", "k", "h").mapInArrow(_light, "host string, path string, k long, h long, lines binary")
-    rows, _ = numbered(light, ["host", "path", "k", "h"], "g")
+    # held first: the range sort reads its rows twice, to sample and to deal them out
+    rows, _ = numbered(held(light), ["host", "path", "k", "h"], "g")
     own = (F.col("g") / BLOCK).cast("long")
     side = F.when(F.col("g") % BLOCK == 0, own - 1).when(F.col("g") % BLOCK == BLOCK - 1, own + 1)
     dealt = rows.withColumn("block", F.explode(F.array_compact(F.array(own, side)))).withColumn("own", F.col("block") == own)
