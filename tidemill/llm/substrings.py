@@ -31,7 +31,7 @@ from tidemill.llm import kernel
 
 WIDTH, GRAM = 35, 6
 #: Occurrences of one minimizer that are counted together.
-TOGETHER = 4096
+TOGETHER = 512
 
 
 def _sliding_min(g: np.ndarray, span: int) -> np.ndarray:
