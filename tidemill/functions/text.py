@@ -24,7 +24,8 @@ def normalize(c: Column, form: str = "NFC") -> Column:
     def of(texts: pa.Array) -> pa.Array:
         return pc.utf8_normalize(texts, form)
 
-    udf = F.arrow_udf(of, "string")
+    # so marked, the planner neither repeats it nor moves it into expressions that run in the JVM
+    udf = F.arrow_udf(of, "string").asNondeterministic()
     if form != "NFC":
         return udf(c)
     # below U+0300 everything is in NFC and nothing combines

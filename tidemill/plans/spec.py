@@ -255,3 +255,15 @@ def compile_spec(text: str) -> Pipeline:
         str(raw["name"]), expected, tuple(fields), resolved, sentinels, tuple(skips), str(source.get("delimiter") or ","), str(source.get("quotechar") or '"'),
         str(source.get("encoding") or "utf-8"), tuple(decisions), hashlib.sha256(text.encode()).hexdigest(),
     )
+
+
+def from_canonical(text: str) -> Pipeline:
+    """The pipeline that canonical() wrote."""
+    raw = json.loads(text)
+    fields = tuple(Field(**{**f, "steps": tuple(Step(**s) for s in f["steps"])}) for f in raw["fields"])
+    return Pipeline(
+        **{
+            **raw, "columns": tuple(raw["columns"]), "fields": fields, "policies": Policies(**raw["policies"]), "sentinels": {k: tuple(v) for k, v in raw["sentinels"].items()},
+            "skips": tuple(Skip(**s) for s in raw["skips"]), "decisions": tuple(raw["decisions"]),
+        }
+    )
