@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def normalize(c: Column, form: str = "NFC") -> Column:
     """Unicode normalization over Arrow batches; texts that NFC can't change never leave the JVM."""
 
     def of(texts: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(texts, form)
+        return pa.array([None if x is None else x if unicodedata.is_normalized(form, x) else unicodedata.normalize(form, x) for x in texts.to_pylist()], pa.string())
 
     # so marked, the planner neither repeats it nor moves it into expressions that run in the JVM
     udf = F.arrow_udf(of, "string").asNondeterministic()

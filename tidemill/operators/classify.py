@@ -24,7 +24,6 @@ from tidemill.plans.spec import Field, Pipeline, Step
 
 WARNS = "array<struct<column:string,code:string>>"
 CHANGES = "array<struct<field:string,change:string,reason:string>>"
-CELL = "struct<v:string,code:string,message:string,col:string,warns:array<string>>"
 
 
 def _warn(column: str, code: str, when: Column) -> Column:
@@ -96,7 +95,7 @@ def render_literal(value: object) -> str | None:
 
 
 def chain(f: Field, cells: dict[str, Column]) -> Column:
-    """CELL of a field: its transforms from left to right, then length, then null."""
+    """struct<v, code, message, col, warns> of a field: its transforms from left to right, then length, then null."""
     steps = list(f.steps)
     name = f.source or f.target
     empty = F.array().cast("array<string>")
@@ -104,6 +103,9 @@ def chain(f: Field, cells: dict[str, Column]) -> Column:
     def start(v: Column) -> Column:
         return F.struct(v.cast("string").alias("v"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("message"), F.lit(name).alias("col"), empty.alias("warns"))
 
+    def scripted(x: Column) -> Column:
+        return F.struct(x["v"].alias("v"), x["code"].alias("code"), x["message"].alias("message"), F.coalesce(x["col"], F.lit(name)).alias("col"), F.coalesce(x["warns"], empty).alias("warns"))
+
     if not f.filled:
         x = start(F.lit(None))
     elif steps and steps[0].op == "constant":
@@ -114,7 +116,7 @@ def chain(f: Field, cells: dict[str, Column]) -> Column:
         x = start(values.concat([cells[c] for c in a["sources"]], str(a.get("sep", ""))).value)
     elif steps and steps[0].op == "expr":
         sql = steps.pop(0).args.get("sql")
-        x = start(F.expr(str(sql)).cast("string")) if sql is not None else F.col(f"_e_{f.target}")
+        x = start(F.expr(str(sql)).cast("string")) if sql is not None else let(F.col(f"_x_{f.target}"), scripted)
     else:
         x = start(cells[f.source])
 
@@ -169,71 +171,89 @@ def classify(rows: DataFrame, plan: Pipeline, header: list[str] | None = None) -
     if p.unicode_normalization:
         d = d.withColumns({f"_n{i}": text.normalize(F.col(f"_r{i}"), p.unicode_normalization) for i in range(len(plan.columns))})
     got = "_n" if p.unicode_normalization else "_r"
-    d = d.withColumns({f"_c{i}": cleaned(F.col(f"{got}{i}"), F.col(f"_r{i}"), plan, c) for i, c in enumerate(plan.columns)})
-    cells = {c: F.col(f"_c{i}.v") for i, c in enumerate(plan.columns)}
+    d = d.withColumn("_cells", F.struct(*[cleaned(F.col(f"{got}{i}"), F.col(f"_r{i}"), plan, c).alias(f"c{i}") for i, c in enumerate(plan.columns)]))
 
-    skip = F.lit(None).cast("string")
-    for s in reversed(plan.skips):
-        skip = F.when(F.coalesce(cells[s.column], F.lit("")).rlike(java_pattern(s.pattern)), F.lit(s.code)).otherwise(skip)
-    d = d.withColumn("skip_code", F.when(live, skip))
-    scripts = [(f, f.steps[0].args["python"]) for f in plan.fields if f.steps and f.steps[0].op == "expr" and "python" in f.steps[0].args]
+    scripts = [f for f in plan.fields if f.steps and f.steps[0].op == "expr" and "python" in f.steps[0].args]
     if scripts:
-        row = F.struct(*[cells[c].alias(c) for c in plan.columns])
-        d = d.withColumns({f"_x_{f.target}": python_expr(str(code))(F.when(live & F.col("skip_code").isNull(), row)) for f, code in scripts})
-        for f, _ in scripts:
-            d = d.withColumn("skip_code", F.coalesce("skip_code", F.col(f"_x_{f.target}.skip")))
-            x = F.col(f"_x_{f.target}")
-            d = d.withColumn(
-                f"_e_{f.target}",
-                F.struct(x["v"].alias("v"), x["code"].alias("code"), x["message"].alias("message"), F.coalesce(x["col"], F.lit(f.source or f.target)).alias("col"), F.coalesce(x["warns"], F.array().cast("array<string>")).alias("warns")),
-            )
+        row = F.struct(*[F.col(f"_cells.c{i}.v").alias(c) for i, c in enumerate(plan.columns)])
+        skipped = _skip(plan, lambda c: F.col(f"_cells.c{plan.columns.index(c)}.v"))
+        d = d.withColumns({f"_x_{f.target}": python_expr(str(f.steps[0].args["python"]))(F.when(live & skipped.isNull(), row)) for f in scripts})
     if any(f.steps and f.steps[0].op == "expr" and "sql" in f.steps[0].args for f in plan.fields):
         # SQL text names source columns
-        d = d.withColumns({c: cells[c] for c in plan.columns if c not in d.columns})
-    d = d.withColumns({f"_f{j}": chain(f, cells) for j, f in enumerate(plan.fields)})
+        d = d.withColumns({c: F.col(f"_cells.c{i}.v") for i, c in enumerate(plan.columns) if c not in d.columns})
+
+    # cells, skip code and fields are each bound once: the row's expression stays linear in the spec
+    def from_cells(cells: Column) -> Column:
+        value = {c: cells[f"c{i}"]["v"] for i, c in enumerate(plan.columns)}
+        skip = _skip(plan, value.__getitem__)
+        for f in scripts:
+            skip = F.coalesce(skip, F.col(f"_x_{f.target}")["skip"])
+
+        def from_skip(skip: Column) -> Column:
+            on = live & skip.isNull()
+            fields = F.struct(*[F.when(on, chain(f, value)).alias(f"f{j}") for j, f in enumerate(plan.fields)])
+            return let(fields, lambda fields: _judged(plan, len(header), cells, value, skip, on, fields))
+
+        return let(F.when(live, skip), from_skip)
+
+    d = d.withColumn("_row", let(F.col("_cells"), from_cells))
+    return d.select("row_number", "fields", "_row.status", F.when(F.col("again"), F.col("first_row")).alias("first_row"), "_row.error", "_row.skip_code", "_row.warns", "_row.changes", "_row.out")
 
-    on = live & F.col("skip_code").isNull()
+
+def _skip(plan: Pipeline, value: Callable[[str], Column]) -> Column:
+    """The code of the first skip rule that matches, null if none does."""
+    skip = F.lit(None).cast("string")
+    for s in reversed(plan.skips):
+        skip = F.when(F.coalesce(value(s.column), F.lit("")).rlike(java_pattern(s.pattern)), F.lit(s.code)).otherwise(skip)
+    return skip
+
+
+def _judged(plan: Pipeline, width: int, cells: Column, value: dict[str, Column], skip: Column, on: Column, fields: Column) -> Column:
+    """struct<status, error, skip_code, warns, changes, out> of a row, from its cleaned cells and its fields."""
+    p = plan.policies
+    early = F.col("early")
     annotate = p.error_disposition == "annotate"
-    hard = [F.col(f"_f{j}.code").isin("NUL-04", "ERR-07") if annotate else F.col(f"_f{j}.code").isNotNull() for j in range(len(plan.fields))]
+    x = [fields[f"f{j}"] for j in range(len(plan.fields))]
+    hard = [F.coalesce(c["code"].isin("NUL-04", "ERR-07") if annotate else c["code"].isNotNull(), F.lit(False)) for c in x]
     error = F.lit(None).cast("struct<code:string,column:string,value:string,message:string>")
     for j in reversed(range(len(plan.fields))):
-        x = F.col(f"_f{j}")
         f = plan.fields[j]
-        bad = cells[f.source] if f.source else F.lit(None).cast("string")
-        error = F.when(F.coalesce(hard[j], F.lit(False)), F.struct(x["code"].alias("code"), x["col"].alias("column"), F.substring(bad, 1, 500).alias("value"), x["message"].alias("message"))).otherwise(error)
-    width = F.struct(F.lit("STR-02").alias("code"), F.lit("<row>").alias("column"), F.lit(None).cast("string").alias("value"), F.concat(F.size("fields").cast("string"), F.lit(f" fields instead of {len(header)}")).alias("message"))
-    d = d.withColumn("error", F.when(F.col("early") == "quarantined", width).when(on, error))
-    d = d.withColumn("status", F.coalesce("early", F.when(F.col("skip_code").isNotNull(), "skipped").when(F.col("error").isNotNull(), "quarantined").otherwise("out")))
-
-    done = F.col("status") == "out"
-    rendered = {f.target: F.col(f"_f{j}.v") for j, f in enumerate(plan.fields)}
-    notes = []
-    if p.formula_injection == "neutralize":
-        for t, c in rendered.items():
-            notes.append(_warn(t, "ENC-08", done & F.coalesce(text.formula_leading(c, "=@\t\r"), F.lit(False))))
-        rendered = {t: text.neutralize_formula(c).value for t, c in rendered.items()}
-    parts = [
-        F.array_compact(F.array(_warn("<row>", "STR-06", F.col("blank")), _warn("<row>", "STR-05", F.col("again")))),
-        F.when(F.col("skip_code").isNotNull(), F.array(F.struct(F.lit("<row>").alias("column"), F.col("skip_code").alias("code")))),
-    ]
-    for i, c in enumerate(plan.columns):
-        parts.append(F.when(live, _tagged(F.col(f"_c{i}.warns"), c)))
-    reached = on
-    for j, f in enumerate(plan.fields):
-        parts.append(F.when(reached, _tagged(F.col(f"_f{j}.warns"), f.source or f.target)))
-        reached = reached & ~F.coalesce(hard[j], F.lit(False))
-    if notes:
-        parts.append(F.array_compact(F.array(*notes)))
-    none = F.array().cast(WARNS)
-    warns = F.concat(*[F.coalesce(x, none) for x in parts])
-    changes = F.array().cast(CHANGES)
-    if annotate:
-        changed = [
-            F.when(done & F.col(f"_f{j}.code").isNotNull(), F.struct(F.lit(f.target).alias("field"), F.lit("NULLED").alias("change"), F.col(f"_f{j}.code").alias("reason"))) for j, f in enumerate(plan.fields)
+        bad = value[f.source] if f.source else F.lit(None).cast("string")
+        error = F.when(hard[j], F.struct(x[j]["code"].alias("code"), x[j]["col"].alias("column"), F.substring(bad, 1, 500).alias("value"), x[j]["message"].alias("message"))).otherwise(error)
+    ragged = F.struct(F.lit("STR-02").alias("code"), F.lit("<row>").alias("column"), F.lit(None).cast("string").alias("value"), F.concat(F.size("fields").cast("string"), F.lit(f" fields instead of {width}")).alias("message"))
+    error = F.when(early == "quarantined", ragged).when(on, error)
+
+    def with_error(error: Column) -> Column:
+        status = F.coalesce(early, F.when(skip.isNotNull(), "skipped").when(error.isNotNull(), "quarantined").otherwise("out"))
+        return let(status, lambda status: with_status(error, status))
+
+    def with_status(error: Column, status: Column) -> Column:
+        done = status == "out"
+        rendered = {f.target: x[j]["v"] for j, f in enumerate(plan.fields)}
+        notes = []
+        if p.formula_injection == "neutralize":
+            notes = [_warn(t, "ENC-08", done & F.coalesce(text.formula_leading(c, "=@\t\r"), F.lit(False))) for t, c in rendered.items()]
+            rendered = {t: text.neutralize_formula(c).value for t, c in rendered.items()}
+        parts = [
+            F.array_compact(F.array(_warn("<row>", "STR-06", F.col("blank")), _warn("<row>", "STR-05", F.col("again")))),
+            F.when(skip.isNotNull(), F.array(F.struct(F.lit("<row>").alias("column"), skip.alias("code")))),
         ]
-        changes = F.array_compact(F.array(*changed))
-    out = F.when(done, F.struct(*[c.alias(t) for t, c in rendered.items()]))
-    return d.select("row_number", "fields", "status", F.when(F.col("again"), F.col("first_row")).alias("first_row"), "error", "skip_code", warns.alias("warns"), changes.alias("changes"), out.alias("out"))
+        parts += [F.when(early.isNull(), _tagged(cells[f"c{i}"]["warns"], c)) for i, c in enumerate(plan.columns)]
+        reached = on
+        for j, f in enumerate(plan.fields):
+            parts.append(F.when(reached, _tagged(x[j]["warns"], f.source or f.target)))
+            reached = reached & ~hard[j]
+        if notes:
+            parts.append(F.array_compact(F.array(*notes)))
+        warns = F.concat(*[F.coalesce(part, F.array().cast(WARNS)) for part in parts])
+        changes = F.array().cast(CHANGES)
+        if annotate:
+            changed = [F.when(done & x[j]["code"].isNotNull(), F.struct(F.lit(f.target).alias("field"), F.lit("NULLED").alias("change"), x[j]["code"].alias("reason"))) for j, f in enumerate(plan.fields)]
+            changes = F.array_compact(F.array(*changed))
+        out = F.when(done, F.struct(*[c.alias(t) for t, c in rendered.items()]))
+        return F.struct(status.alias("status"), error.alias("error"), skip.alias("skip_code"), warns.alias("warns"), changes.alias("changes"), out.alias("out"))
+
+    return let(error, with_error)
 
 
 def _tagged(codes: Column, column: str) -> Column:
