@@ -37,9 +37,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shown(o: Outcome, value: str = "value") -> list[Column]:
-    x = o.struct()
-    return [x["v"].alias(value), x["code"].alias("code"), x["warn"].alias("warned")]
+def _shown(rows: DataFrame, key: str, o: Outcome) -> DataFrame:
+    return rows.select(key, o.cell.alias("_x")).select(key, F.col("_x.v").alias("value"), F.col("_x.code").alias("code"), F.col("_x.warn").alias("warned"))
 
 
 # ---- cells
@@ -51,55 +50,55 @@ PRICE = "CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR)"
 def to_decimal_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.format_number(F.col("o_totalprice").cast("decimal(12,2)"), 2)
     dirty = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("($"), price, F.lit(")"))).otherwise(F.concat(F.lit(" $"), price))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", *_shown(numbers.to_decimal(dirty, ",", True, True, scale=2)))
+    return _shown(_table(spark, sf_dir, "orders"), "o_orderkey", numbers.to_decimal(dirty, ",", True, True, scale=2))
 
 
 @registered("SELECT l_orderkey, l_linenumber, CAST(l_discount AS DECIMAL(10,2)) AS value, CAST(NULL AS VARCHAR) AS code FROM lineitem")
 def to_decimal_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirty = F.concat((F.col("l_discount").cast("decimal(10,2)") * 100).cast("int").cast("string"), F.lit(" %"))
-    x = numbers.to_decimal(dirty, percent=True).struct()
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x["v"].try_cast("decimal(10,2)").alias("value"), x["code"].alias("code"))
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.to_decimal(dirty, percent=True).cell.alias("x"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("x.v").try_cast("decimal(10,2)").alias("value"), F.col("x.code").alias("code"))
 
 
 @registered("SELECT p_partkey, CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) || CASE p_partkey % 3 WHEN 0 THEN '000' WHEN 1 THEN '000000' ELSE '' END AS value FROM part")
 def to_decimal_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.when(F.col("p_partkey") % 3 == 0, "K").when(F.col("p_partkey") % 3 == 1, "m").otherwise("")
     dirty = F.concat(F.floor("p_retailprice").cast("string"), unit)
-    return _table(spark, sf_dir, "part").select("p_partkey", numbers.to_decimal(dirty, magnitude=True).struct()["v"].alias("value"))
+    return _table(spark, sf_dir, "part").select("p_partkey", numbers.to_decimal(dirty, magnitude=True).value.alias("value"))
 
 
 @registered("SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'TYP-08' ELSE 'ok' END AS outcome, count(*) AS n FROM lineitem GROUP BY 1")
 def scale_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(12,2)").cast("string")
     dirty = F.when(F.col("l_orderkey") % 5 == 0, F.concat(price, F.lit("1"))).otherwise(F.concat(price, F.lit("0")))
-    code = numbers.to_decimal(dirty, scale=2).struct()["code"]
+    code = numbers.to_decimal(dirty, scale=2).code
     return _table(spark, sf_dir, "lineitem").groupBy(F.coalesce(code, F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @registered("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderkey * 1001 AS VARCHAR) END AS value, CASE WHEN o_orderkey % 9 = 0 THEN 'TYP-01' END AS code, false AS warned FROM orders")
 def to_int_thousands(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirty = F.concat(F.format_number(F.col("o_orderkey") * 1001, 0), F.when(F.col("o_orderkey") % 9 == 0, ".0").otherwise(""))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", *_shown(numbers.to_int(dirty, ",")))
+    return _shown(_table(spark, sf_dir, "orders"), "o_orderkey", numbers.to_int(dirty, ","))
 
 
 @registered("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value, CASE WHEN o_orderkey % 11 = 0 THEN 'TYP-03' END AS code, false AS warned FROM orders")
 def to_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("o_orderdate")
     dirty = F.when(F.col("o_orderkey") % 11 == 0, "31/31/2026").when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "M/d/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", *_shown(times.to_date(dirty, ["%m/%d/%Y", "%d.%m.%Y"])))
+    return _shown(_table(spark, sf_dir, "orders"), "o_orderkey", times.to_date(dirty, ["%m/%d/%Y", "%d.%m.%Y"]))
 
 
 @registered("SELECT event_id, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+0000' AS value, CAST(NULL AS VARCHAR) AS code, false AS warned FROM events")
 def to_datetime_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirty = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    return _table(spark, sf_dir, "events").select("event_id", *_shown(times.to_datetime(dirty, ["%Y-%m-%d %H:%M:%S"], "+05:30")))
+    return _shown(_table(spark, sf_dir, "events"), "event_id", times.to_datetime(dirty, ["%Y-%m-%d %H:%M:%S"], "+05:30"))
 
 
 @registered("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'true' WHEN 'F' THEN 'false' END AS value, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'TYP-06' END AS code, o_orderstatus = 'F' AS warned FROM orders")
 def to_bool_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
     dirty = F.when(s == "O", "Yes").when(s == "F", "NO").otherwise("maybe")
-    return _table(spark, sf_dir, "orders").select("o_orderkey", *_shown(values.to_bool(dirty, {"Yes": True, "No": False})))
+    return _shown(_table(spark, sf_dir, "orders"), "o_orderkey", values.to_bool(dirty, {"Yes": True, "No": False}))
 
 
 @registered("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE c_mktsegment END AS value,
@@ -130,8 +129,8 @@ def unicode_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.substring("text", 1, 300)
     docs = _table(spark, sf_dir, "documents").where(head.rlike("[à-ü]"))
-    x = text.repair_mojibake(F.decode(F.encode(head, "UTF-8"), "ISO-8859-1"))
-    return docs.select("doc_id", F.md5(x.value).alias("digest"), x.warn.alias("warned"))
+    broken = F.decode(F.encode(head, "UTF-8"), "ISO-8859-1")
+    return docs.select("doc_id", text.repair_mojibake(broken).cell.alias("x")).select("doc_id", F.md5("x.v").alias("digest"), F.col("x.warn").alias("warned"))
 
 
 @registered("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '''=' || event_type WHEN 1 THEN '''-' || event_type WHEN 2 THEN '+' || CAST(event_id AS VARCHAR) WHEN 3 THEN '-' ELSE event_type END AS value,
@@ -139,7 +138,7 @@ def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def formula_neutralization(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, e = F.col("event_id") % 5, F.col("event_type")
     dirty = F.when(k == 0, F.concat(F.lit("="), e)).when(k == 1, F.concat(F.lit("-"), e)).when(k == 2, F.concat(F.lit("+"), F.col("event_id").cast("string"))).when(k == 3, "-").otherwise(e)
-    return _table(spark, sf_dir, "events").select("event_id", *_shown(text.neutralize_formula(dirty)))
+    return _shown(_table(spark, sf_dir, "events"), "event_id", text.neutralize_formula(dirty))
 
 
 @registered("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name || ' / ' || c_mktsegment END AS value FROM customer")

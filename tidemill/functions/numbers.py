@@ -60,8 +60,7 @@ def to_int(c: Column, thousands_sep: str | None = None, currency: bool = False,
         bare = F.regexp_replace(F.replace(s, F.lit("_"), F.lit("")), "^[+]?(-?)0*([0-9])", "$1$2")
         return F.when(s.rlike("^[+-]?[0-9]+(_[0-9]+)*\\z"), F.when(bare == "-0", F.lit("0")).otherwise(bare))
 
-    value = let(s, read)
-    return Outcome.of(value, fails(value.isNull() & c.isNotNull(), "TYP-01"), "not an integer")
+    return Outcome.bound(let(s, read), lambda value: Outcome.of(value, fails(value.isNull() & c.isNotNull(), "TYP-01"), "not an integer"))
 
 
 SHAPE = "^([+-]?)([0-9]*)(?:[.]([0-9]*))?(?:[eE]([+-]?[0-9]{1,4}))?\\z"
@@ -109,9 +108,12 @@ def to_decimal(
 
     x = unformatted(c, thousands_sep, currency, accounting_negative, percent, magnitude)
     x = let(x, lambda x: _state(F.replace(trim(x["s"]), F.lit("_"), F.lit("")), x["negative"], x["share"], x["power"]))
-    done = let(let(let(x, parts), moved), result)
-    message = F.when(done["code"] == "TYP-08", F.lit(f"more digits than scale {scale}; rounding must be explicit")).when(done["code"] == "ERR-07", F.lit("beyond the decimal range")).otherwise(F.lit("not a decimal number"))
-    return Outcome.of(done["text"], F.when(c.isNotNull(), done["code"]), message)
+
+    def told(done: Column) -> Outcome:
+        message = F.when(done["code"] == "TYP-08", F.lit(f"more digits than scale {scale}; rounding must be explicit")).when(done["code"] == "ERR-07", F.lit("beyond the decimal range")).otherwise(F.lit("not a decimal number"))
+        return Outcome.of(done["text"], F.when(c.isNotNull(), done["code"]), message)
+
+    return Outcome.bound(let(let(let(x, parts), moved), result), told)
 
 
 def check_range(c: Column, low: str | None = None, high: str | None = None) -> Outcome:

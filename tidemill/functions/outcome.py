@@ -22,24 +22,39 @@ def none() -> Column:
 class Outcome:
     """Cells travel as the text they would be rendered to; null is null.
 
-    ``code`` is null where the step succeeded. ``warn`` is true where the step changed the cell in a
-    way that is counted, under ``warn_code``.
+    ``cell`` is struct<v, code, message, warn>. ``code`` is null where the step succeeded, ``v`` where it
+    did not. ``warn`` is true where the step changed the cell in a way that is counted, under
+    ``warn_code``. Whoever needs more than one part takes them from one ``cell`` column.
     """
 
-    value: Column
-    code: Column
-    message: Column
-    warn: Column
+    cell: Column
     warn_code: str = ""
 
     @staticmethod
     def of(value: Column, code: Column | None = None, message: Column | str = "", warn: Column | None = None, warn_code: str = "") -> Outcome:
         text = F.lit(message) if isinstance(message, str) else message
-        return Outcome(value, none() if code is None else code, text, F.lit(False) if warn is None else F.coalesce(warn, F.lit(False)), warn_code)
+        warned = F.lit(False) if warn is None else F.coalesce(warn, F.lit(False))
+        if code is None:
+            return Outcome(F.struct(value.alias("v"), none().alias("code"), none().alias("message"), warned.alias("warn")), warn_code)
+        whole = F.struct(value.alias("v"), code.alias("code"), text.alias("message"), warned.alias("warn"))
+        return Outcome(let(whole, lambda x: F.when(x["code"].isNull(), x.withField("message", none())).otherwise(x.withField("v", none()))), warn_code)
 
-    def struct(self) -> Column:
-        whole = F.struct(self.value.alias("v"), self.code.alias("code"), self.message.alias("message"), self.warn.alias("warn"))
-        return let(whole, lambda x: F.when(x["code"].isNull(), x.withField("message", none())).otherwise(x.withField("v", none())))
+    @staticmethod
+    def bound(x: Column, make: Callable[[Column], Outcome], warn_code: str = "") -> Outcome:
+        """The outcome that make builds of x, with x computed once."""
+        return Outcome(let(x, lambda v: make(v).cell), warn_code)
+
+    @property
+    def value(self) -> Column:
+        return self.cell["v"]
+
+    @property
+    def code(self) -> Column:
+        return self.cell["code"]
+
+    @property
+    def warn(self) -> Column:
+        return self.cell["warn"]
 
 
 def fails(condition: Column, code: str) -> Column:

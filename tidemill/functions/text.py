@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemill.functions.outcome import Outcome
+from tidemill.functions.outcome import Outcome, let
 
 # The code points of each class.
 SPACES = "  " + "".join(chr(c) for c in range(0x2000, 0x200B)) + "  　"
@@ -58,8 +58,11 @@ def repair_mojibake(c: Column) -> Outcome:
         signed = signed | F.contains(c, F.lit(s))
     raw = F.when(signed & c.rlike("(?s)^[\\x00-\\xff]*\\z"), F.encode(c, "ISO-8859-1"))
     again = raw.cast("string")
-    fixed = F.when(F.is_valid_utf8(again) & ~F.contains(again, F.lit("�")) & (again != c), again)
-    return Outcome.of(F.coalesce(fixed, c), warn=fixed.isNotNull(), warn_code="ENC-06")
+
+    def checked(again: Column) -> Column:
+        return F.when(F.is_valid_utf8(again) & ~F.contains(again, F.lit("�")) & (again != c), again)
+
+    return Outcome.bound(let(again, checked), lambda fixed: Outcome.of(F.coalesce(fixed, c), warn=fixed.isNotNull()), "ENC-06")
 
 
 def formula_leading(c: Column, lead: str = "=@") -> Column:
@@ -72,4 +75,4 @@ def formula_leading(c: Column, lead: str = "=@") -> Column:
 def neutralize_formula(c: Column) -> Outcome:
     """An apostrophe before cells that a spreadsheet would run (ENC-08 counted)."""
     risky = formula_leading(c, "=@\t\r")
-    return Outcome.of(F.when(risky, F.concat(F.lit("'"), c)).otherwise(c), warn=risky, warn_code="ENC-08")
+    return Outcome.bound(risky, lambda risky: Outcome.of(F.when(risky, F.concat(F.lit("'"), c)).otherwise(c), warn=risky), "ENC-08")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemill.functions.outcome import Outcome, fails
+from tidemill.functions.outcome import Outcome, fails, let
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -88,8 +88,8 @@ def _parsed(c: Column, fmt: str) -> tuple[Column, Column]:
     date = F.concat(year, F.lit("-"), month, F.lit("-"), day)
     if "j" in found:
         date = F.date_add(F.concat(year, F.lit("-01-01")).try_cast("date"), part("j").try_cast("int") - 1).cast("string")
-    fits = c.rlike(rule) & date.try_cast("date").isNotNull() & (second < "60")
-    local = F.when(fits, F.concat(date, F.lit(" "), hour, F.lit(":"), minute, F.lit(":"), second))
+    # parts are taken only of cells that fit the pattern
+    local = F.when(c.rlike(rule), let(date, lambda date: F.when(date.try_cast("date").isNotNull() & (second < "60"), F.concat(date, F.lit(" "), hour, F.lit(":"), minute, F.lit(":"), second))))
     offset = F.lit(None).cast("int")
     if "z" in found:
         z = F.replace(part("z"), F.lit(":"), F.lit(""))
@@ -101,7 +101,7 @@ def _parsed(c: Column, fmt: str) -> tuple[Column, Column]:
 def to_date(c: Column, formats: list[str]) -> Outcome:
     """ISO date of the first format that fits (TYP-03)."""
     date = F.coalesce(*[F.substring(_parsed(c, f)[0], 1, 10) for f in formats])
-    return Outcome.of(date, fails(date.isNull() & c.isNotNull(), "TYP-03"), f"fits none of the formats {list(formats)}")
+    return Outcome.bound(date, lambda date: Outcome.of(date, fails(date.isNull() & c.isNotNull(), "TYP-03"), f"fits none of the formats {list(formats)}"))
 
 
 def fixed_offset(tz: str) -> int:
@@ -116,21 +116,25 @@ def fixed_offset(tz: str) -> int:
 
 def to_datetime(c: Column, formats: list[str], assume_tz: str | None = None, to_utc: bool = True) -> Outcome:
     """ISO datetime with offset; naive values need a declared zone (TYP-04). Sub-seconds are dropped."""
-    tries = [_parsed(c, f) for f in formats]
-    local = F.coalesce(*[x for x, _ in tries])
-    offset = F.lit(None).cast("int")
-    for x, z in reversed(tries):
-        offset = F.when(x.isNotNull(), z).otherwise(offset)
-    if assume_tz is not None:
-        offset = F.coalesce(offset, F.lit(fixed_offset(assume_tz)))
-    code = F.when(c.isNotNull() & local.isNull(), F.lit("TYP-03")).when(local.isNotNull() & offset.isNull(), F.lit("TYP-04"))
-    message = F.when(code == "TYP-04", F.lit("no offset and no declared time zone")).otherwise(F.lit(f"fits none of the formats {list(formats)}"))
-    moment = local.try_cast("timestamp_ntz")
-    if to_utc:
-        moment = moment - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), offset.cast("decimal(18,6)"))
-        zone = F.lit("+0000")
-    else:
-        size = F.abs(offset)
-        zone = F.concat(F.when(offset < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.floor(size / 3600).cast("string"), 2, "0"), F.lpad((F.floor(size / 60) % 60).cast("string"), 2, "0"))
-    text = F.concat(F.replace(F.substring(moment.cast("string"), 1, 19), F.lit(" "), F.lit("T")), zone)
-    return Outcome.of(text, code, message)
+    def first(found: list[tuple[Column, Column]]) -> Column:
+        (local, offset), rest = found[0], found[1:]
+        both = F.struct(local.alias("local"), offset.alias("offset"))
+        return let(both, lambda x: F.when(x["local"].isNotNull(), x).otherwise(first(rest))) if rest else both
+
+    def told(x: Column) -> Outcome:
+        local = x["local"]
+        offset = x["offset"] if assume_tz is None else F.coalesce(x["offset"], F.lit(fixed_offset(assume_tz)))
+        code = F.when(c.isNotNull() & local.isNull(), F.lit("TYP-03")).when(local.isNotNull() & offset.isNull(), F.lit("TYP-04"))
+        message = F.when(local.isNotNull(), F.lit("no offset and no declared time zone")).otherwise(F.lit(f"fits none of the formats {list(formats)}"))
+        moment = local.try_cast("timestamp_ntz")
+        if to_utc:
+            moment = moment - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), offset.cast("decimal(18,6)"))
+            zone = F.lit("+0000")
+        else:
+            size = F.abs(offset)
+            hours, minutes = (F.lpad(x.cast("string"), 2, "0") for x in (F.floor(size / 3600), F.floor(size / 60) % 60))
+            zone = F.concat(F.when(offset < 0, F.lit("-")).otherwise(F.lit("+")), hours, minutes)
+        text = F.concat(F.replace(F.substring(moment.cast("string"), 1, 19), F.lit(" "), F.lit("T")), zone)
+        return Outcome.of(text, code, message)
+
+    return Outcome.bound(first([_parsed(c, f) for f in formats]), told)

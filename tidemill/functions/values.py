@@ -19,9 +19,14 @@ def to_bool(c: Column, mapping: dict[str, bool]) -> Outcome:
     for k, v in reversed(list(mapping.items())):
         exact = F.when(c == str(k), F.lit(v)).otherwise(exact)
         loose = F.when(folded(c) == str(k).casefold(), F.lit(v)).otherwise(loose)
-    value = F.coalesce(exact, loose)
-    text = F.when(value, F.lit("true")).when(~value, F.lit("false"))
-    return Outcome.of(text, fails(value.isNull() & c.isNotNull(), "TYP-06"), f"not in the vocabulary {sorted(map(str, mapping))}", exact.isNull() & loose.isNotNull(), "TYP-10")
+    both = F.struct(exact.alias("exact"), loose.alias("loose"))
+
+    def told(x: Column) -> Outcome:
+        value = F.coalesce(x["exact"], x["loose"])
+        text = F.when(value, F.lit("true")).when(~value, F.lit("false"))
+        return Outcome.of(text, fails(value.isNull() & c.isNotNull(), "TYP-06"), f"not in the vocabulary {sorted(map(str, mapping))}", x["exact"].isNull() & x["loose"].isNotNull())
+
+    return Outcome.bound(both, told, "TYP-10")
 
 
 def concat(columns: list[Column], sep: str = "") -> Outcome:

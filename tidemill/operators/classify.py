@@ -49,6 +49,7 @@ def cleaned(c: Column, raw: Column, plan: Pipeline, column: str) -> Column:
     """struct<v, warns>: a normalized cell after text cleaning and null resolution."""
     p = plan.policies
     none = F.array().cast("array<string>")
+    as_is = F.struct(raw.alias("v"), none.alias("warns"))
     x = F.struct(c.alias("v"), F.when(c != raw, F.array(F.lit("ENC-03"))).otherwise(none).alias("warns"))
 
     def stage(f: Callable[[Column], Column], code: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -67,7 +68,11 @@ def cleaned(c: Column, raw: Column, plan: Pipeline, column: str) -> Column:
         x = let(x, stage(lambda v: F.when(~v.isin(*plan.sentinels[column]), v), lambda y: F.lit("NUL-03")))
     if p.empty_string_is_null:
         x = let(x, lambda x: F.struct(F.nullif(x["v"], F.lit("")).alias("v"), x["warns"].alias("warns")))
-    return x
+    # most cells are printable ASCII without outer spaces, which no rule but the sentinels changes
+    plain = raw.rlike("^[!-~]([ -~]*[!-~])?\\z")
+    if plan.sentinels.get(column):
+        plain = plain & ~raw.isin(*plan.sentinels[column])
+    return F.when(raw.isNull() | plain, as_is).otherwise(x)
 
 
 def step_outcome(step: Step, c: Column) -> Outcome:
@@ -124,7 +129,7 @@ def chain(f: Field, cells: dict[str, Column]) -> Column:
         def run(x: Column) -> Column:
             o = make(x["v"])
             after = let(
-                o.struct(),
+                o.cell,
                 lambda y: F.struct(
                     y["v"].alias("v"), y["code"].alias("code"), y["message"].alias("message"), F.when(y["code"] == "ERR-07", F.lit("<row>")).otherwise(F.lit(column)).alias("col"),
                     F.when(y["warn"], F.concat(x["warns"], F.array(F.lit(o.warn_code)))).otherwise(x["warns"]).alias("warns"),
@@ -196,7 +201,8 @@ def classify(rows: DataFrame, plan: Pipeline, header: list[str] | None = None) -
 
         return let(F.when(live, skip), from_skip)
 
-    d = d.withColumn("_row", let(F.col("_cells"), from_cells))
+    # a condition on rand() keeps the planner from computing the row again in every filter above it
+    d = d.withColumn("_row", F.when(F.rand(0) >= 0, let(F.col("_cells"), from_cells)))
     return d.select("row_number", "fields", "_row.status", F.when(F.col("again"), F.col("first_row")).alias("first_row"), "_row.error", "_row.skip_code", "_row.warns", "_row.changes", "_row.out")
 
 
