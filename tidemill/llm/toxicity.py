@@ -121,58 +121,58 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if total > sample:
         bar = int((2 * sample / total) * (1 << 30)) if total > 2 * sample else 1 << 30
         marked = marked.where(F.pmod(draw, F.lit(1 << 30)) < bar).orderBy(draw).limit(sample)
+    n, toxic = marked.agg(F.count("*"), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
+    none = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 500.0))
+    if not 0 < toxic < n:
+        return none
     # at most `sample` ids and flags
     few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(marked), "_id")
-    few = few.dropDuplicates(["_id"])
+    few = few.dropDuplicates(["_id"]).select("_toxic", "_t")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic = b.column("_toxic").to_numpy(zero_copy_only=False)
+            flag = b.column("_toxic").to_numpy(zero_copy_only=False)
             for i, row, f in features(b.column("_t")):
-                by = np.argsort(row, kind="stable")
-                cut = np.searchsorted(row[by], np.arange(row.max() + 2))
-                f = f[by]
-                for r in range(len(cut) - 1):
-                    a, z = cut[r], cut[r + 1]
-                    if z > a:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([int(toxic[i + r])], pa.int32()), pa.array([f[a:z].tobytes()])], names=["toxic", "f"]
-                        )
-
-    got = few.mapInArrow(scan, "toxic int, f binary").collect()
-    return _learn([(r["toxic"], np.frombuffer(r["f"], np.uint64)) for r in got])
-
-
-def _learn(rows: list[tuple[int, np.ndarray]]) -> Ordinal:
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))  # whatever order the tasks ended in
-    toxic = np.array([r[0] for r in rows], np.int64)
-    none = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 500.0))
-    if not len(rows) or toxic.min() == toxic.max():
-        return none
-    ids, inverse = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    df = np.bincount(inverse, minlength=len(ids))
-    pos = np.bincount(inverse, weights=toxic[owner], minlength=len(ids))
-    n, p = len(rows), toxic.mean()
-    # chi-square of presence against the label
-    expect = df * p
-    chi = (pos - expect) ** 2 / np.maximum(expect * (1 - p) * np.maximum(1 - df / n, 1e-9), 1e-9)
-    chi[df < 3] = 0
-    keep = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    keep = keep[chi[keep] >= CHI]
-    if not len(keep):
+                ids, inverse = np.unique(f, return_inverse=True)
+                pos = np.bincount(inverse, weights=flag[i + row], minlength=len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(np.bincount(inverse)), pa.array(pos.astype(np.int64))], names=["f", "n", "pos"])
+
+    sums = few.mapInArrow(count, "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    share = toxic / n
+    chi = F.expr(f"pow(pos - n * {share!r}D, 2) / (n * {share * (1 - share)!r}D * greatest(1 - n / {n}D, 1e-9D))")
+    chosen = sums.where("n >= 3").withColumn("chi", chi).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "f").limit(FEATURES).collect()
+    if not chosen:
         return none
-    odds = ((pos + 0.5) / (toxic.sum() + 1)) / ((df - pos + 0.5) / (n - toxic.sum() + 1))
-    abusive = (odds >= MARK) & (chi >= CHI)
-    abuse = np.bincount(owner, weights=abusive[inverse], minlength=n)
+    ids = np.array([r["f"] for r in chosen], np.int64).view(np.uint64)
+    by = np.argsort(ids)
+    ids, df, pos = ids[by], np.array([r["n"] for r in chosen])[by], np.array([r["pos"] for r in chosen])[by]
+    odds = ((pos + 0.5) / (toxic + 1)) / ((df - pos + 0.5) / (n - toxic + 1))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            have: list[list[int]] = [[] for _ in range(len(b))]
+            for i, row, f in features(b.column("_t")):
+                at = np.minimum(np.searchsorted(ids, f), len(ids) - 1)
+                for r, x in zip(row[ids[at] == f].tolist(), at[ids[at] == f].tolist(), strict=True):
+                    have[i + r].append(x)
+            yield pa.RecordBatch.from_arrays([b.column("_toxic").cast(pa.int32()), pa.array([sorted(x) for x in have], pa.list_(pa.int32()))], names=["toxic", "f"])
+
+    got = few.mapInArrow(pick, "toxic int, f array<int>").collect()
+    rows = sorted((r["toxic"], r["f"]) for r in got)  # whatever order the tasks ended in
+    return _learn(ids, odds >= MARK, rows) or none
+
+
+def _learn(ids: np.ndarray, abusive: np.ndarray, rows: list[tuple[int, list[int]]]) -> Ordinal | None:
+    """The model of rows (toxic, indices of their features)."""
+    toxic = np.array([t for t, _ in rows], np.int64)
+    if not len(rows) or toxic.min() == toxic.max():
+        return None
+    owner = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
+    col = np.array([x for _, f in rows for x in f], np.int64)
+    abuse = np.bincount(owner, weights=abusive[col], minlength=len(rows))
     cuts = np.quantile(abuse[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, abuse, side="left"), 0)
-    place = np.full(len(ids), -1)
-    place[keep] = np.arange(len(keep))
-    col = place[inverse]
-    used = col >= 0
-    w, theta = fit_ordinal(owner[used], col[used], np.ones(int(used.sum())), grade, len(keep))
-    return Ordinal(ids[keep], w, theta)
+    return Ordinal(ids, *fit_ordinal(owner, col, np.ones(len(col)), grade, len(ids)))
 
 
 def severity_column(model: Ordinal, docs: DataFrame, text: Column) -> Column:
