@@ -76,6 +76,15 @@ def spans(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def parts(column: pa.Array, limit: int = 4 * SLICE) -> Iterator[tuple[int, pa.Array]]:
+    """Zero-copy pieces of a string column of at most limit bytes or one row, with their first row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, off = buffers(column)
+    for i, j in spans(off, limit):
+        yield i, column.slice(i, j - i)
+
+
 @dataclass
 class Words:
     """Words of the rows i..j-1 of a column: byte bounds in ``data``, row (from 0) and 64-bit hash.

@@ -44,8 +44,14 @@ def letters(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(low, ""), low, pc.binary_join_element_wise(space, low, space, nothing))
 
 
-def grams(clean: pa.Array, size: int = GRAM) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For row slices i..j of cleaned texts: n-gram hashes, and where each row's begin (j-i+1 bounds)."""
+def grams(texts: pa.Array, size: int = GRAM) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For row slices i..j of texts: n-gram hashes, and where each row's begin (j-i+1 bounds)."""
+    for at, part in kernel.parts(texts):
+        for i, j, h, first in _grams(letters(part), size):
+            yield at + i, at + j, h, first
+
+
+def _grams(clean: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, off = kernel.buffers(clean)
     for i, j in kernel.spans(off):
         data = raw[off[i] : off[j]]
@@ -95,7 +101,7 @@ class Filters:
         best, score = ["und"] * len(texts), np.zeros(len(texts))
         if not self.langs:
             return best, score
-        for i, _, h, first in grams(letters(texts)):
+        for i, _, h, first in grams(texts):
             n = np.diff(first)
             rows = np.flatnonzero(n)
             if not len(rows):
@@ -135,7 +141,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, inverse = np.unique(np.array(b.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
-            for i, _, h, first in grams(letters(b.column("t"))):
+            for i, _, h, first in grams(b.column("t")):
                 own = np.repeat(inverse[i : i + len(first) - 1], np.diff(first))
                 for k, name in enumerate(names):
                     g, n = np.unique(h[own == k], return_counts=True)

@@ -89,4 +89,24 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
 }
-ORACLE_SQL: dict[str, str] = {"op2_mix": MIX_SQL}
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+bs AS (SELECT DISTINCT q, item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT q, item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT q, count(*) AS n_item FROM bs GROUP BY q),
+hits AS (SELECT r, q, any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, count(*) AS n_shared FROM ds JOIN bs ON ds.s = bs.s GROUP BY r, q)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM hits JOIN n ON hits.q = n.q WHERE n_shared >= 0.8 * n_item
+"""
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + k AS at FROM x JOIN again ON x.h = again.h, (SELECT unnest(range(0, 35)) AS k)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.at) AS text, count(*) AS n FROM words LEFT JOIN gone ON words.r = gone.r AND words.at = gone.at WHERE gone.at IS NULL GROUP BY words.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_mix": MIX_SQL, "op7_substrings": OP7_SQL}

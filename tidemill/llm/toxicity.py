@@ -40,21 +40,25 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
     The low bit of a feature tells prefixes from words.
     """
-    raw, off = kernel.buffers(letters(texts))
-    for i, j in kernel.spans(off):
-        w = kernel.words(raw, off, i, j)
-        if not len(w.start):
-            continue
-        size = np.minimum(w.end - w.start, PREFIX)
-        code = np.zeros(len(w.start), np.uint64)
-        for s in range(PREFIX):
-            at = np.minimum(w.start + s, len(w.data) - 1)
-            code |= np.where(s < size, w.data[at], 0).astype(np.uint64) << np.uint64(8 * s)
-        f = np.concatenate([w.hash & ~np.uint64(1), kernel.mix(code + np.uint64(7)) | np.uint64(1)])
-        row = np.concatenate([w.row, w.row])
-        key = f ^ kernel.mix(row.astype(np.uint64) + np.uint64(1)) if j - i > 1 else f
-        _, at = np.unique(key, return_index=True)
-        yield i, row[at], f[at]
+    for at, part in kernel.parts(texts):
+        raw, off = kernel.buffers(letters(part))
+        for i, j in kernel.spans(off):
+            w = kernel.words(raw, off, i, j)
+            if len(w.start):
+                yield at + i, *_features(w)
+
+
+def _features(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Each different feature of each row, once."""
+    size = np.minimum(w.end - w.start, PREFIX)
+    code = np.zeros(len(w.start), np.uint64)
+    for s in range(PREFIX):
+        at = np.minimum(w.start + s, len(w.data) - 1)
+        code |= np.where(s < size, w.data[at], 0).astype(np.uint64) << np.uint64(8 * s)
+    f = np.concatenate([w.hash & ~np.uint64(1), kernel.mix(code + np.uint64(7)) | np.uint64(1)])
+    row = np.concatenate([w.row, w.row])
+    _, at = np.unique(f ^ kernel.mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
+    return row[at], f[at]
 
 
 @dataclass
