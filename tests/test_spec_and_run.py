@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tidemill.operators.profile import profile
+from tidemill.operators.profile import profile, profile_file
 from tidemill.operators.run import emit, run
 from tidemill.plans.loader import SpecError, load
 from tidemill.plans.spec import compile_spec, from_canonical
@@ -141,3 +141,40 @@ def test_profile_findings(spark, tmp_path):
     found = {(f["id"], f["column"]) for f in got["findings"]}
     assert {("TYP-07", "id"), ("TYP-03", "when"), ("TYP-06", "flag"), ("TYP-01", "amt"), ("NUL-03", "note"), ("STR-02", None), ("STR-06", None)} <= found
     assert got["rows_profiled"] == 22
+
+
+def file_findings(spark, tmp_path, data, **kw):
+    path = tmp_path / "f.csv"
+    path.write_bytes(data)
+    got = profile_file(spark, str(path), **kw)
+    return got, {(f["id"], f["kind"]): f for f in got["findings"] if f["column"] is None}
+
+
+def test_profile_of_bytes(spark, tmp_path):
+    body = "".join(f"{i};caf\u00e9 {i}\n" for i in range(8))
+    got, found = file_findings(spark, tmp_path, b"\xef\xbb\xbf" * 2 + ("id;name\r\n" + body).encode())
+    assert found["ENC-02", "fix"]["count"] == 2 and found["STR-07", "fix"]["evidence"] == {"\\r\\n": 1, "\\n": 8}
+    assert got["delimiter"] == ";" and got["columns"] == ["id", "name"] and got["rows_profiled"] == 8
+    got, found = file_findings(spark, tmp_path, ("id;name\n" + body).encode("cp1252"))
+    assert got["encoding"] == "cp1252" and found["ENC-01", "ask"]["evidence"]["decode_error"].startswith("byte 13")
+    got, found = file_findings(spark, tmp_path, ("id,name\n" + "1,\u6771\u4eac\u90fd\n2,\u5927\u962a\n" * 9).encode("shift_jis"))
+    assert got["encoding"] == "shift_jis"
+    got, found = file_findings(spark, tmp_path, ("id,name\n" + "1,a\n" * 5).encode("utf-16"))
+    assert ("ENC-01", "ask") in found and got["columns"] == ["id", "name"]
+    got, found = file_findings(spark, tmp_path, b"")
+    assert got["rows_profiled"] == 0 and not got["findings"]
+
+
+@pytest.mark.parametrize(
+    ("lead", "width", "rows"),
+    [(["Report", "made in May"], 3, 6), (["Title,CPI", "Unit,index", "Source,office", ""], 2, 9), ([], 2, 9), ([], 3, 9)],
+)
+def test_profile_preamble(spark, tmp_path, lead, width, rows):
+    head = [",".join(["day", "value", "more"][:width])]
+    if width == 2 and lead:
+        head = []  # such tables have no header of their own
+    data = lead + head + [",".join([str(1990 + i), f"{i}.5", "x"][:width]) for i in range(rows)]
+    got, found = file_findings(spark, tmp_path, "\n".join(data).encode())
+    assert found.get(("STR-06", "ask"), {}).get("count") == (len(lead) or None)
+    assert got["rows_profiled"] == rows - (not head)
+    assert file_findings(spark, tmp_path, "\n".join(data).encode(), max_rows=None)[0]["findings"] == got["findings"]

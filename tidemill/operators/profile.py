@@ -12,12 +12,13 @@ import re
 from collections import defaultdict
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemill.functions import text
 from tidemill.functions.values import folded
+from tidemill.sources import rawcsv
 
 # Vocabularies, patterns and thresholds of the detectors.
 SENTINELS = (
@@ -40,6 +41,7 @@ ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 EUROPEAN = "^-?[0-9]{1,3}([.][0-9]{3})+(,[0-9]+)?$"
 FOOTER = "(?i)^(sub)?total\\b|^sum\\b|^count\\b|^generated\\b|^report\\b|^page [0-9]"
 MAX_ROWS = 1000
+SHOWN_ROWS = 1000
 RANK = {"ask": 0, "row-error": 1, "fix": 2, "info": 3}
 
 
@@ -115,7 +117,7 @@ def sentinel_values(cells: DataFrame) -> DataFrame:
 
 
 def structure(rows: DataFrame, header: list[str]) -> list[Finding]:
-    """Header, width, blank, footer, duplicate and preamble findings of rows (row_number, fields)."""
+    """Header, width, blank, footer and duplicate findings of rows (row_number, fields)."""
     out: list[Finding] = []
     if any(h != h.strip() for h in header):
         out.append(Finding("STR-04", "fix", "header names have surrounding space"))
@@ -140,11 +142,6 @@ def structure(rows: DataFrame, header: list[str]) -> list[Finding]:
     surplus = d.where(~F.col("blank")).groupBy("fields").agg(F.count("*").alias("c")).where("c > 1").agg(F.sum(F.col("c") - 1)).first()[0]
     if surplus:
         out.append(Finding("STR-05", "ask", f"{surplus} exact duplicate row(s)", count=surplus))
-    widths = d.where(~F.col("blank")).groupBy("width").agg(F.count("*").alias("c"), F.min("row_number").alias("first")).orderBy(F.desc("c"), "first").first()
-    if widths and widths["width"] > len(header):
-        body = d.where((F.col("width") == widths["width"]) & ~F.col("blank")).agg(F.min("row_number")).first()[0]
-        if d.count() >= 4:
-            out.append(Finding("STR-06", "ask", "narrow rows before the table: a preamble?", count=body - 1))
     return out
 
 
@@ -241,17 +238,91 @@ def questions(findings: list[Finding]) -> list[dict[str, object]]:
     return list(groups.values())
 
 
+def preamble_rows(rows: DataFrame) -> int:
+    """How many rows of a report's head stand before the header; rows from number 1, no gaps.
+
+    Either narrower rows than the usual width, or, in tables of two columns, rows before the first
+    number of a column whose later half is numbers.
+    """
+    d = rows.select("row_number", "fields", F.size("fields").alias("width"), F.forall("fields", lambda x: text.is_blank(F.coalesce(x, F.lit("")))).alias("blank"))
+    widths = d.groupBy("width").agg(F.count("*").alias("n"), F.min("row_number").alias("first"), F.percentile_approx("row_number", 0.5, 1000000).alias("middle"))
+    # one row for each different width; the sum is over those
+    usual = widths.agg(F.max_by(F.struct("width", "n", "middle"), F.struct("n", -F.col("first"))).alias("u"), F.sum("n").alias("total")).first()
+    if usual["total"] is None or usual["total"] < 4 or usual["u"]["width"] < 2:
+        return 0
+    total, (width, n, middle) = usual["total"], usual["u"]
+    broken = d.agg(F.min(F.when((F.col("width") >= width) | F.col("blank"), F.col("row_number")))).first()[0]
+    if 0 < broken - 1 < total - 1:
+        return broken - 1
+    if width != 2 or n / total < 0.7:
+        return 0
+    later = (F.col("width") == 2) & (F.col("row_number") >= middle + (n % 2 == 0))
+    wanted = []
+    for i in (0, 1):
+        v = text.trim(F.coalesce(F.get("fields", F.lit(i)), F.lit("")))
+        number = F.regexp_replace(v, "[, ]", "").rlike(PLAIN)
+        wanted += [F.count_if(later & (v != "")).alias(f"n{i}"), F.count_if(later & (v != "") & number).alias(f"numbers{i}"), F.min(F.when(number, F.col("row_number"))).alias(f"lead{i}")]
+    f = d.agg(*wanted).first()
+    for i in (0, 1):
+        if f[f"n{i}"] >= 3 and f[f"numbers{i}"] / f[f"n{i}"] > 0.9 and 2 <= f[f"lead{i}"] - 1 < total - 1:
+            return f[f"lead{i}"] - 1
+    return 0
+
+
+def byte_findings(shape: rawcsv.FileShape) -> tuple[list[Finding], str, str]:
+    """Findings on encoding, line ends and delimiter of a file; the encoding and delimiter to read it with."""
+    out: list[Finding] = []
+    encoding = "utf-8"
+    if shape.boms:
+        out.append(Finding("ENC-02", "fix", f"{shape.boms} UTF-8 byte order mark(s): stripped", count=shape.boms))
+    if shape.utf16:
+        encoding = "utf-16"
+        out.append(Finding("ENC-01", "ask", "UTF-16 byte order mark: which encoding?", evidence=f"first bytes {shape.utf16}"))
+    elif shape.bad_at is not None:
+        ranked = rawcsv.rank_charsets(shape.head)
+        if ranked:
+            encoding = ranked[0][0]
+            seen = {"decode_error": f"byte {shape.bad_at}: {shape.bad_why}", "candidates": [{"encoding": e, "score": s} for e, s in ranked]}
+            out.append(Finding("ENC-01", "ask", f"not UTF-8; {encoding} fits best", evidence=seen))
+        else:
+            out.append(Finding("ENC-01", "ask", "not UTF-8, and no other encoding fits"))
+    ends = {k: n for k, n in (("\\r\\n", shape.crlf), ("\\r", shape.cr), ("\\n", shape.lf)) if n}
+    if len(ends) > 1:
+        out.append(Finding("STR-07", "fix", "different line ends in one file", evidence=ends))
+    start = shape.head.decode(encoding, "replace").replace("\r\n", "\n").replace("\r", "\n")[: rawcsv.SNIFF_CHARS]
+    delimiter = rawcsv.sniff_delimiter(start)
+    if delimiter not in (None, ","):
+        out.append(Finding("STR-01", "ask", f"the delimiter seems to be {delimiter!r}", evidence=f"first {len(start)} characters"))
+    elif delimiter is None and any(x in line for line in start.splitlines()[:20] for x in rawcsv.DELIMITERS):
+        out.append(Finding("STR-01", "ask", "the delimiter can't be told"))
+    return out, encoding, delimiter or ","
+
+
+def profile_file(spark: SparkSession, path: str, max_rows: int | None = MAX_ROWS) -> dict[str, object]:
+    """The profile of one delimited file whose encoding and delimiter aren't known."""
+    found, encoding, delimiter = byte_findings(rawcsv.shape(spark, path))
+    records = rawcsv.sample_records(spark, path, delimiter, encoding, max_rows).persist()
+    try:
+        return {"file": path, "encoding": encoding, "delimiter": delimiter} | profile(records, max_rows, found)
+    finally:
+        records.unpersist()
+
+
 def profile(records: DataFrame, max_rows: int | None = MAX_ROWS, file_findings: list[Finding] | None = None) -> dict[str, object]:
     """The profile of records (row_number from 1, fields); the sample is by row number, None for all."""
+    if max_rows is not None:
+        records = records.where(F.col("row_number") <= max_rows + 1)
+    skipped = preamble_rows(records)
+    found = list(file_findings or [])
+    if skipped:
+        shown = [r["fields"][:4] for r in records.where(F.col("row_number") <= min(skipped, SHOWN_ROWS)).orderBy("row_number").collect()]
+        found.append(Finding("STR-06", "ask", f"{skipped} row(s) before the table: a preamble?", count=skipped, evidence=shown))
+        records = records.withColumn("row_number", F.col("row_number") - skipped)
     head = records.where("row_number = 1").first()
-    if head is None:
-        return {"rows_profiled": 0, "findings": [], "questions": [], "counts": {}}
-    header = head["fields"]
+    header = head["fields"] if head else []
     rows = records.where("row_number > 1")
-    if max_rows is not None:
-        rows = rows.where(F.col("row_number") <= max_rows + 1)
-    found = (file_findings or []) + structure(rows, header) + column_findings(unpivot(rows, header), header)
+    found += structure(rows, header) + column_findings(unpivot(rows, header), header)
     found.sort(key=lambda f: (RANK[f.kind], f.id, f.column or ""))
     profiled = rows.where(~F.forall("fields", lambda x: text.is_blank(F.coalesce(x, F.lit(""))))).count()
     ask = questions(found)
-    return {"rows_profiled": profiled, "findings": [asdict(f) for f in found], "questions": ask, "ask_questions": len(ask), "counts": {k: sum(f.kind == k for f in found) for k in RANK if any(f.kind == k for f in found)}}
+    return {"columns": [h.strip() for h in header], "rows_profiled": profiled, "findings": [asdict(f) for f in found], "questions": ask, "ask_questions": len(ask), "counts": {k: sum(f.kind == k for f in found) for k in RANK if any(f.kind == k for f in found)}}

@@ -13,6 +13,8 @@ import codecs
 import csv
 import hashlib
 import io
+import itertools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,32 +91,100 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",", quotechar
     return lines.select(number.alias("row_number"), cells.alias("fields"))
 
 
+# Candidate encodings, delimiters and sizes of the samples.
 CHARSETS = ("shift_jis", "euc_jp", "gb18030", "cp1252", "latin-1")
+DELIMITERS = ",;\t|"
 HEAD_BYTES, SNIFF_CHARS = 65536, 8192
 
 
-def head(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n)).first()
-    return bytes(row[0]) if row else b""
+@dataclass(frozen=True)
+class FileShape:
+    """What a profile says of a file's bytes: leading marks, the first byte that isn't UTF-8, line ends, the head."""
+
+    boms: int = 0
+    utf16: str | None = None
+    bad_at: int | None = None
+    bad_why: str | None = None
+    crlf: int = 0
+    cr: int = 0
+    lf: int = 0
+    head: bytes = b""
+
+
+SHAPE = "boms int, utf16 string, bad_at long, bad_why string, crlf long, cr long, lf long, head binary"
+
+
+def _bare(data: bytes) -> tuple[bytes, int]:
+    """Bytes without any leading UTF-8 marks, and their number."""
+    boms = 0
+    while data.startswith(BOM, boms * len(BOM)):
+        boms += 1
+    return data[boms * len(BOM) :], boms
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for value in b.column("content"):
+            data, boms = _bare(value.as_buffer().to_pybytes())
+            mark = data[:2].hex() if not boms and data[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE) else None
+            bad_at = bad_why = None
+            body = data
+            if mark:
+                body = data.decode("utf-16", "replace").encode("utf-8", "replace")
+            else:
+                try:
+                    data.decode("utf-8")
+                except UnicodeDecodeError as e:
+                    bad_at, bad_why = e.start, e.reason
+            crlf = body.count(b"\r\n")
+            row = {"boms": boms, "utf16": mark, "bad_at": bad_at, "bad_why": bad_why, "crlf": crlf, "cr": body.count(b"\r") - crlf, "lf": body.count(b"\n") - crlf, "head": data[:HEAD_BYTES]}
+            fields = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), fields, strict=True)], names=list(row))
+
+
+def shape(spark: SparkSession, path: str) -> FileShape:
+    """One task reads the file; only the counts and the head come to the driver."""
+    row = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_measure, SHAPE).first()
+    return FileShape(**(row.asDict() | {"head": bytes(row["head"])})) if row else FileShape()
+
+
+def sample_records(spark: SparkSession, path: str, delimiter: str, encoding: str, max_rows: int | None) -> DataFrame:
+    """The header and max_rows records (None: all), with undecodable bytes replaced and line ends unified."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for value in b.column("content"):
+                text = _bare(value.as_buffer().to_pybytes())[0].decode(encoding, "replace").replace("\r\n", "\n").replace("\r", "\n")
+                records = enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), 1)
+                while found := list(itertools.islice(records, BATCH)):
+                    if max_rows is not None:
+                        found = found[: max(0, max_rows + 2 - found[0][0])]
+                    if not found:
+                        break
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([f for _, f in found], pa.list_(pa.string()))], names=["row_number", "fields"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, "row_number long, fields array<string>")
 
 
 def rank_charsets(data: bytes) -> list[tuple[str, float]]:
-    """Candidate encodings that decode the bytes, best first: fewer odd characters score higher."""
+    """Candidate encodings that decode the head (but for a character cut at its end), best first.
+
+    The score is the share of characters that text may hold: replacement and control characters lower it.
+    """
     out = []
     for name in CHARSETS:
         try:
-            text = data.decode(name)
-        except UnicodeDecodeError as e:
-            if e.end < len(data) - 4:
-                continue
-            text = data[: e.start].decode(name)
-        odd = sum(not (c.isprintable() or c in "\r\n\t") or 0xE000 <= ord(c) < 0xF900 for c in text)
-        out.append((name, 1 - odd / max(1, len(text))))
+            text = codecs.getincrementaldecoder(name)().decode(data, final=len(data) < HEAD_BYTES)
+        except UnicodeDecodeError:
+            continue
+        odd = len(re.findall("[\ufffd\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", text))
+        out.append((name, round(1 - odd / len(text), 4) if text else 0.0))
     return sorted(out, key=lambda x: -x[1])
 
 
 def sniff_delimiter(text: str) -> str | None:
+    """None: no delimiter stands out."""
     try:
-        return csv.Sniffer().sniff(text[:SNIFF_CHARS], delimiters=",;\t|").delimiter
+        return csv.Sniffer().sniff(text[:SNIFF_CHARS], delimiters=DELIMITERS).delimiter
     except csv.Error:
         return None
