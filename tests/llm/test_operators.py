@@ -298,3 +298,34 @@ def test_personal_data_base_spans(spark, none):
     both = one.select(pii.redact(F.lit(text), F.col("base")).alias("x")).first()["x"]
     assert both == "mail [email] now"
     assert pii.digest(pii.find(none, pii.train(none))).count() == 0
+
+
+def test_personal_data_in_dense_texts(spark):
+    r = random.Random(11)
+    parts = ["a.b@c.de", "x (at) y (dot) org", "10.2.3.4", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (234) 567-8901", "030 1234 5678", "tel", "card", "😀é", "word word", "7"]
+    rows = [(i, "".join(r.choice(parts) + r.choice(["", " ", ", "]) for _ in range(n))) for i, n in enumerate([0, 1, 31, 32, 33, 64, 65, 300, 3000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    for x in pii._prepared(docs.where("doc_id < 8"), "doc_id", "text").select("_id", "_c").collect():
+        t, c = text[x["_id"]], x["_c"]
+        assert [(y.s, y.e, y.kind) for y in c] == sorted({(y.s, y.e, y.kind) for y in c})
+        base = {(m.start(), m.end(), i) for i, (_, p, ok) in enumerate(RULES) for m in re.finditer(p, t) if ok(m[0])}
+        assert {(y.s, y.e, y.kind) for y in c if not y.proposed} == base
+        for y in c:
+            assert y.touch == any(s < y.e and y.s < e for s, e, _ in base)
+            assert y.cue == bool(re.search(pii.CUES[pii.KINDS[y.kind]], t[max(0, y.s - 24) : y.s]))
+            for code, near in ((y.before, t[max(0, y.s - 1) : y.s]), (y.after, t[y.e : y.e + 1])):
+                assert code == (0 if not near else 1 if near.isspace() else 2 if near.isalpha() else 3 if near in "0123456789" else 4)
+    model = pii.train(docs)
+    model.bars = (-99.0,) * 4  # every proposal is a rival
+    found = pii.find(docs, model)
+    shown = found.join(docs, "doc_id").select("doc_id", "base", "added", pii.redact(F.col("text"), F.col("added")).alias("t")).collect()
+    assert len(shown) == len(rows)
+    for x in shown:
+        t, out, at = text[x["doc_id"]], [], 0
+        spans = sorted(x["added"], key=lambda y: y.s)
+        assert all(a.e <= b.s for a, b in zip(spans, spans[1:], strict=False))
+        for y in spans:
+            out += [t[at : y.s], f"[{pii.KINDS[y.kind]}]"]
+            at = y.e
+        assert x["t"] == "".join(out) + t[at:]

@@ -20,6 +20,7 @@ Defined results: a null text is empty and has no spans. Offsets are code points,
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,11 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, TREES, DEPTH, RATE = 20_000, 12, 3, 0.4
+#: Sizes of the blocks of running totals and of the pieces of a text; a place after any.
+BLOCK, PIECE, FAR = 32, 256, (1 << 31) - 1
+#: Proposals are at most 700 characters and those of one kind never overlap, so that those that overlap
+#: one are fewer than this many places from it in the order of starts (700 by the least lengths 5, 7, 13 and 6).
+NEAR = 512
 #: Precision that a threshold must reach on held-out documents.
 PRECISION = 0.95
 
@@ -51,17 +57,40 @@ CUES = {"email": r"(?i)mail|contact|@", "ip": r"(?i)\bip\b|host|server|addr", "c
 FEATURES = ("kind", "digits", "seps", "luhn", "lead", "cue", "before", "after", "octets", "varied", "long")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, total: Callable[[Column], Column], zero: int) -> Column:
+    """The totals (sum, max or min) of all beginnings of an array of ints, by blocks, so that cost is near linear."""
+
+    def blocks(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / BLOCK), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(v, j * BLOCK + 1, F.lit(BLOCK)))
+
+    def within(before: Column, c: Column) -> Column:
+        return F.transform(c, lambda x, i: total(F.concat(F.array(before), F.slice(c, F.lit(1), i + 1))))
+
+    def joined(c: Column, tops: Column) -> Column:
+        return F.flatten(F.transform(c, lambda x, j: bound(total(F.concat(F.array(F.lit(zero)), F.slice(tops, F.lit(1), j))), lambda t: within(t, x))))
+
+    return bound(values, lambda v: bound(blocks(v), lambda c: bound(F.transform(c, lambda x: total(F.concat(F.array(F.lit(zero)), x))), lambda tops: joined(c, tops))))
+
+
+def _sum(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0), lambda a, x: a + x)
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<m string, s int>>: the matches and their start in code points, leftmost and non-overlapping."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,s:int>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["g"])
-        more = F.struct((start + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(x["m"].alias("m"), start.alias("s")))).alias("out"))
-        return F.when(x["m"].isNull(), a).otherwise(more)
+    def placed(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: F.length(x["g"]) + F.length(x["m"])), _sum, 0)
+        return F.zip_with(p, ends, lambda x, e: F.struct(x["m"].alias("m"), (e - F.length(x["m"])).alias("s")))
 
-    return F.aggregate(parts, zero, step, lambda a: a["out"])
+    return bound(F.filter(parts, lambda x: x["m"].isNotNull()), placed)
 
 
 def digits_of(m: Column) -> Column:
@@ -111,19 +140,31 @@ def _code(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", 0).when(c.rlike("\\s"), 1).when(c.rlike("\\p{L}"), 2).when(c.rlike("[0-9]"), 3).otherwise(4)
 
 
-def _described(kind: str, text: Column, x: Column) -> Column:
-    """A candidate's span and features, all small integers."""
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _described(kind: str, pieces: Column, x: Column, proposed: int) -> Column:
+    """A candidate's place, whether it was proposed or is a base span (0), and features, all small integers."""
     m, s = x["m"], x["s"]
     d = digits_of(m)
     n = F.length(d)
-    # the characters before and after are cut once
-    from_ = F.greatest(s - 23, F.lit(1))
-    around = F.substring(text, from_, s - from_ + 1)
-    after = F.substring(text, s + F.length(m) + 1, F.lit(1))
+    e = s + F.length(m)
+
+    def piece(i: Column) -> Column:
+        return F.coalesce(F.get(pieces, i.cast("int")), F.lit(""))
+
+    # places in the whole text would be found by counting from its start; the pieces are PIECE characters each
+    left = F.greatest(s - 24, F.lit(0))
+    i = F.floor(left / PIECE)
+    around = F.substring(F.concat(piece(i), piece(i + 1)), left - i * PIECE + 1, s - left)
+    j = F.floor(e / PIECE)
+    after = F.substring(piece(j), e - j * PIECE + 1, F.lit(1))
     return F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"),
         s.alias("s"),
-        (s + F.length(m)).alias("e"),
+        e.alias("e"),
+        F.lit(KINDS.index(kind)).alias("kind"),
+        F.lit(proposed).alias("proposed"),
         F.least(n, F.lit(20)).alias("digits"),
         F.least(F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.lit(8)).alias("seps"),
         F.when(n.between(12, 19), F.call_function("luhn_check", d)).otherwise(False).cast("int").alias("luhn"),
@@ -137,14 +178,28 @@ def _described(kind: str, text: Column, x: Column) -> Column:
     )
 
 
-def candidates(text: Column, base: dict[str, Column]) -> Column:
-    """Base spans and proposals of all generators, described."""
+def candidates(text: Column, pieces: Column, base: dict[str, Column]) -> Column:
+    """Base spans and proposals of all generators, described, each span and kind once, by start.
+
+    ``touch`` tells whether a span overlaps a base span: one that starts no later and ends after its
+    start, or one that starts later and before its end.
+    """
 
     def of(kind: str) -> Column:
         hint = "email" if kind == "email" else "card"  # only digits are needed for the others
-        return F.transform(F.array_union(base[kind], _hinted(hint, text, located(text, GENERATORS[kind]))), lambda x: _described(kind, text, x))
+        found = _hinted(hint, text, located(text, GENERATORS[kind]))
+        return F.concat(F.transform(base[kind], lambda x: _described(kind, pieces, x, 0)), F.transform(found, lambda x: _described(kind, pieces, x, 1)))
+
+    def single(c: Column) -> Column:
+        return F.filter(c, lambda x, i: (i == 0) | ~_same(x, F.get(c, i - 1)))
 
-    return F.concat(*[of(k) for k in KINDS])
+    def touched(c: Column) -> Column:
+        ends = running(F.transform(c, lambda x: F.when(x["proposed"] == 0, x["e"]).otherwise(-1)), F.array_max, -1)
+        starts = F.reverse(running(F.reverse(F.transform(c, lambda x: F.when(x["proposed"] == 0, x["s"]).otherwise(FAR))), F.array_min, FAR))
+        return bound(ends, lambda p: bound(starts, lambda q: F.transform(c, lambda x, i: x.withField("touch", (F.get(p, i) > x["s"]) | (F.get(q, i) < x["e"])))))
+
+    # a base span sorts before the equal proposal
+    return bound(F.array_sort(F.concat(*[of(k) for k in KINDS])), lambda c: bound(single(c), touched))
 
 
 @dataclass
@@ -250,7 +305,8 @@ def boost(cells: list[tuple[tuple[int, ...], int, int, int]]) -> Model:
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     rows = rows.withColumns({f"_{k}": c for k, c in base_spans(F.col("_t")).items()})
-    return rows.withColumn("_c", candidates(F.col("_t"), {k: F.col(f"_{k}") for k in KINDS}))
+    rows = rows.withColumn("_p", _pieces(F.col("_t")))
+    return rows.withColumn("_c", candidates(F.col("_t"), F.col("_p"), {k: F.col(f"_{k}") for k in KINDS})).drop("_p")
 
 
 def _bases() -> Column:
@@ -275,9 +331,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30))
     if total > sample:
         docs = docs.where(draw < int(sample / total * (1 << 30)))
-    rows = _prepared(docs, id_col, text_col).withColumn("_b", _bases()).withColumn("_f", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(2)).cast("int"))
-    marked = rows.select("_f", "_b", F.explode("_c").alias("c"))
-    marked = marked.select("_f", "c", F.exists("_b", lambda b: _same(b, F.col("c"))).alias("p"), F.exists("_b", lambda b: _touch(b, F.col("c"))).alias("o")).where("p OR NOT o")
+    rows = _prepared(docs, id_col, text_col).withColumn("_f", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(2)).cast("int"))
+    marked = rows.select("_f", F.explode("_c").alias("c")).select("_f", "c", (F.col("c.proposed") == 0).alias("p")).where("p OR NOT c.touch")
     cells = marked.groupBy("_f", *[F.col(f"c.{x}").alias(x) for x in FEATURES]).agg(F.count_if("p").alias("p"), F.count_if(~F.col("p")).alias("n"))
     return boost([(tuple(r[x] for x in FEATURES), r["_f"], r["p"], r["n"]) for r in cells.collect()])
 
@@ -286,29 +341,57 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))))
 
 
+def _best(spans: Column) -> Column:
+    """The spans, given by start, that overlap none better; only those of one chain of overlaps are compared."""
+
+    def better(o: Column) -> Column:
+        return F.struct(o["score"], o["e"] - o["s"], -o["s"], -o["kind"])
+
+    def chained(c: Column, ends: Column) -> Column:
+        cut = lambda x, i: F.coalesce(F.get(ends, i - 1) <= x["s"], F.lit(True))
+        first = running(F.transform(c, lambda x, i: F.when(cut(x, i), i).otherwise(0)), F.array_max, 0)
+        return bound(first, lambda f: F.filter(c, lambda x, i: ~F.exists(near(c, f, i), lambda o: _touch(o, x) & (better(o) > better(x)))))
+
+    def near(c: Column, first: Column, i: Column) -> Column:
+        # those before in the chain, and at least those after that start before this one's end
+        from_ = F.greatest(F.get(first, i), i - NEAR)
+        return F.slice(c, from_ + 1, i - from_ + 1 + _later(c, i))
+
+    def _later(c: Column, i: Column) -> Column:
+        step = lambda k: F.coalesce(F.get(c, i + k)["s"] < F.get(c, i)["e"], F.lit(False))
+        return F.when(~step(1), 0).when(~step(4), 3).when(~step(32), 31).otherwise(NEAR)
+
+    return bound(running(F.transform(spans, lambda x: x["e"]), F.array_max, -1), lambda ends: chained(spans, ends))
+
+
 def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, base, added)``: arrays of struct<kind, s, e>, each sorted by kind and start."""
     rows = _prepared(docs, id_col, text_col).withColumn("_b", _bases())
-    rows = rows.withColumn("_s", F.transform("_c", lambda c: F.struct(model.column(c).alias("score"), model.bar(c).alias("bar"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))))
-    rows = rows.withColumn("_s", F.filter("_s", lambda c: (c["score"] >= c["bar"]) & ~F.exists(F.col("_b"), lambda b: _touch(b, c))))
+    free = F.filter("_c", lambda c: ~c["touch"])
+    scored = F.transform(free, lambda c: F.struct(model.column(c).alias("score"), model.bar(c).alias("bar"), c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+    rows = rows.withColumn("_s", F.filter(scored, lambda c: c["score"] >= c["bar"]))
 
-    def beaten(c: Column) -> Column:
-        better = lambda o: F.struct(o["score"], o["e"] - o["s"], -o["s"], -o["kind"])
-        return F.exists(F.col("_s"), lambda o: _touch(o, c) & (better(o) > better(c)))
-
-    added = F.array_sort(F.transform(F.filter("_s", lambda c: ~beaten(c)), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))))
-    return rows.select(F.col("_id").alias(id_col), F.col("_b").alias("base"), F.array_distinct(added).alias("added"))
+    kept = F.transform(F.when(F.size("_s") < 2, F.col("_s")).otherwise(_best(F.col("_s"))), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+    added = F.array_sort(kept)
+    return rows.select(F.col("_id").alias(id_col), F.col("_b").alias("base"), added.alias("added"))
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; spans sorted by start, not overlapping."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        spans,
-        zero,
-        lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), F.lit("]")).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    """The text with every span replaced by its kind in brackets; what overlapping spans cover goes once."""
+
+    def cut(pieces: Column, at: Column, to: Column) -> Column:
+        first = F.floor(at / PIECE).cast("int")
+        some = F.slice(pieces, first + 1, F.floor(to / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(some, ""), at - first * PIECE + 1, to - at)
+
+    def whole(pieces: Column, found: Column, ends: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(ends, i), F.lit(0))
+        name = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)
+        shown = F.transform(found, lambda x, i: F.concat(cut(pieces, end(i - 1), F.greatest(x["s"], end(i - 1))), F.lit("["), name(x), F.lit("]")))
+        return F.concat(F.array_join(shown, ""), cut(pieces, end(F.size(found) - 1), F.length(text)))
+
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    return bound(_pieces(text), lambda p: bound(ordered, lambda c: bound(running(F.transform(c, lambda x: x["e"]), F.array_max, 0), lambda ends: whole(p, c, ends))))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
