@@ -121,7 +121,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT doc_id, md5(nfc_normalize(substr(text, 1, 300))) AS digest FROM documents")
 def unicode_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.substring("text", 1, 300), "NFD").alias("x"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text"), "NFD").alias("x"))
     return docs.select("doc_id", F.md5(text.normalize(F.col("x"))).alias("digest"))
 
 
