@@ -25,3 +25,8 @@ def md5(x):
 def test_unicode_normalization_takes_whole_texts(spark, folder):
     got = {r["doc_id"]: r["digest"] for r in entry.queries()["unicode_normalization"](spark, folder).collect()}
     assert got == {i: md5(t and unicodedata.normalize("NFC", t)) for i, t in enumerate(TEXTS)}
+
+
+def test_mojibake_repair_takes_whole_texts_and_returns_every_row(spark, folder):
+    got = {r["doc_id"]: (r["digest"], r["warned"]) for r in entry.queries()["mojibake_repair"](spark, folder).collect()}
+    assert got == {i: (md5(t), any(ord(c) > 127 for c in t or "")) for i, t in enumerate(TEXTS)}

@@ -127,10 +127,8 @@ def unicode_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT doc_id, md5(substr(text, 1, 300)) AS digest, true AS warned FROM documents WHERE regexp_matches(substr(text, 1, 300), '[à-ü]')")
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 300)
-    docs = _table(spark, sf_dir, "documents").where(head.rlike("[à-ü]"))
-    broken = F.decode(F.encode(head, "UTF-8"), "ISO-8859-1")
-    return docs.select("doc_id", text.repair_mojibake(broken).cell.alias("x")).select("doc_id", F.md5("x.v").alias("digest"), F.col("x.warn").alias("warned"))
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return _table(spark, sf_dir, "documents").select("doc_id", text.repair_mojibake(broken).cell.alias("x")).select("doc_id", F.md5("x.v").alias("digest"), F.col("x.warn").alias("warned"))
 
 
 @registered("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '''=' || event_type WHEN 1 THEN '''-' || event_type WHEN 2 THEN '+' || CAST(event_id AS VARCHAR) WHEN 3 THEN '-' ELSE event_type END AS value,
