@@ -30,3 +30,8 @@ def test_unicode_normalization_takes_whole_texts(spark, folder):
 def test_mojibake_repair_takes_whole_texts_and_returns_every_row(spark, folder):
     got = {r["doc_id"]: (r["digest"], r["warned"]) for r in entry.queries()["mojibake_repair"](spark, folder).collect()}
     assert got == {i: (md5(t), any(ord(c) > 127 for c in t or "")) for i, t in enumerate(TEXTS)}
+
+
+def test_clean_text_returns_every_row(spark, folder):
+    got = {r["doc_id"]: r["digest"] for r in entry.queries()["clean_text"](spark, folder).collect()}
+    assert got == {i: md5(unicodedata.normalize("NFC", t).strip() if t else None) for i, t in enumerate(TEXTS)}

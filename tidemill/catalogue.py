@@ -112,7 +112,7 @@ def null_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(r"""SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest, 'ENC-04,ENC-05,TYP-10' AS warned FROM documents WHERE length(text) > 0""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    docs = _table(spark, sf_dir, "documents")
     dirty = F.concat(F.lit("\x07 "), F.col("text"), F.lit(" ​"))
     docs = docs.select("doc_id", dirty.alias("raw")).withColumn("nfc", text.normalize(F.col("raw")))
     x = cleaned(F.col("nfc"), F.col("raw"), Pipeline("q", ("c",), ()), "c")
