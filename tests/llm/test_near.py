@@ -1,9 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemill.llm import near
 
 WORDS = [a + b for a in "ka lo mi ne pu ra st vo".split() for b in "ber din gal hos".split()]
 
@@ -59,3 +62,28 @@ def test_stage_leaves_one_of_each_component(spark, texts):
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == want
     assert len(want) < len(texts) - 20
+    # buckets in tiles, and pairs of a second comparison, give the same
+    tiny = near.keep_one(docs, tile=1)
+    assert sorted((r["doc_id"] for r in tiny.collect()), key=str) == want
+
+
+def test_bit_sliced_buckets_find_what_all_pairs_find():
+    r = random.Random(4)
+    sets = []
+    for n in (4, 5, 10, 40, 200):
+        for _ in range(12):
+            base = [r.getrandbits(64) for _ in range(n)]
+            for m in range(0, n // 8 + 1):
+                sets.append(np.unique(np.array(base[m:] + [r.getrandbits(64) for _ in range(m // 2)], np.uint64)))
+    prints = [near._print(s) for s in sets]
+    for s, p in zip(sets, prints, strict=True):
+        assert p == sum(1 << b for b in range(64) if sum(int(x) >> b & 1 for x in s) * 2 > len(s))
+    far = [(prints[i] ^ prints[j]).bit_count() for i in range(len(sets)) for j in range(i) if 5 * len(b := np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - len(b))]
+    assert len(far) > 100 and max(far) <= near.RADIUS
+
+
+def test_stage_on_hard_inputs(spark):
+    rows = [(None, None, 1), (None, "", 2), (7, "  \n", 3), (1, "W" * 200000, 4), (2, "w" * 200000, 5), (2, "w" * 200000, 6), (9, "é 日本 é 日本 é", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first long").withColumn("c", F.lit(1))
+    assert sorted(r["doc_id"] for r in near.keep_one(docs).collect()) == [1, 7, 9]
+    assert near.keep_one(docs.limit(0)).count() == 0 and near.keep_one(docs).columns == docs.columns

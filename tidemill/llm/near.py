@@ -1,17 +1,24 @@
-"""One document of each group of near copies: exact Jaccard similarity over word shingles.
+"""One document of each group of near copies: SimHash with a bit-sliced comparison, checked exactly.
 
 A text is lower-cased (A-Z), cut into words, and stands for the set of its ``shingle``-word runs by
 64-bit hash (fewer words: the whole sequence; none: the empty set). Two texts link at a Jaccard
-similarity of ``SHARE`` or more, and linked texts form components.
+similarity of ``NUM / DEN`` or more, and linked texts form components.
 
-Links are found by prefix filtering, which misses none: two sets of that similarity have a shingle in
-common among the first ``n - ceil(share n) + 1`` of each, in any order that is the same for all sets; and where the first common one
-stands in both bounds how many can follow.
-Shingles that are frequent in a sample of the texts come last in that order, which bounds the work
-and never the result. Equal sets are one node. A bucket holds the nodes with one such shingle. First
-every node is checked against the least node of its buckets, so a large group of near copies costs a
-row for each copy, not for each pair; then, among nodes of a bucket that are not joined yet, all pairs
-whose sizes and places allow the similarity are checked. Every link is checked on the whole sets.
+Every set gets a 64-bit SimHash. At this similarity fingerprints differ in about 10 bits, too many for
+the block keys of ``simhash.links``, so buckets come from the shingles themselves: two sets of that
+similarity have a shingle in common among the first ``n - ceil(share n) + 1`` of each, in any order that is
+the same for all sets. Shingles that are frequent in a sample of the texts come last in that order, rarer
+ones first, which bounds the work and never the result. Within a bucket the fingerprints are compared as
+bit planes by carry-save counters (``simhash.bit_sliced_pairs``) at ``RADIUS`` bits; pairs beyond it, or
+whose sizes and places rule the similarity out, are dropped. The radius is wide: a pair at the least
+similarity lies beyond it with a probability below one in 100,000, others far less. All that is left is
+checked on the whole sets.
+
+Equal sets are one node. A bucket never gives its pairs: each node is tied to the centre of its local
+group (the member nearest to all others) and to its own nearest member, so that a group of near copies
+costs two rows for each copy. Only groups in which a tie to the centre failed the check are compared again,
+and then all pairs of nodes within the radius that are not joined yet are checked. A bucket that the sample
+shows to be large is cut into tiles of ``TILE`` and every pair of tiles is a group of its own.
 
 Defined results: a null text counts as empty, all empty texts are copies of each other; a row without
 id stays only if no other of its component has one; of rows that agree in id and text one stays.
@@ -19,7 +26,7 @@ id stays only if no other of its component has one; of rows that agree in id and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm import kernel
+from tidemill.llm import kernel, simhash
 from tidemill.llm.cluster import fresh, held
 from tidemill.llm.components import components
 
 #: The least similarity is NUM / DEN.
-SHINGLE, NUM, DEN = 5, 4, 5
+SHINGLE, NUM, DEN, RADIUS, TILE = 5, 4, 5, 26, 4096
 #: One text in SAMPLE is sampled for frequent shingles; of those in OFTEN sampled texts the first MOST count.
 SAMPLE, OFTEN, MOST = 8, 3, 100000
+#: Rows that are compared together, at least, whole buckets each.
+TOGETHER = 1 << 15
+ROW = "key long, sig long, fp long, n int, i int"
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -61,21 +71,166 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
 
 
-def _prefixes(frequent: np.ndarray):
-    """frequent: sorted hashes that come last in the order."""
+class Frequent:
+    """The shingles that come last (sorted), with their number of sampled texts."""
+
+    def __init__(self, found: list[tuple[int, int]]) -> None:
+        s = np.array([x for x, _ in found], np.int64).view(np.uint64)
+        by = np.argsort(s)
+        self.s, self.c = s[by], np.array([c for _, c in found], np.int64)[by]
+
+    def counts(self, s: np.ndarray) -> np.ndarray:
+        """The sampled texts that have each shingle, 0 where it isn't frequent."""
+        if not len(self.s):
+            return np.zeros(len(s), np.int64)
+        at = np.minimum(np.searchsorted(self.s, s), len(self.s) - 1)
+        return np.where(self.s[at] == s, self.c[at], 0)
+
+
+def _print(s: np.ndarray) -> int:
+    """The SimHash of a set: bits that more than half of the hashes have."""
+    if not len(s):
+        return 0
+    sums = np.zeros((1, 64), np.int64)
+    for p in range(0, len(s), 1 << 16):
+        sums += simhash._bits(s[p : p + (1 << 16)], np.zeros(1, np.int64))
+    return int(np.packbits(sums * 2 > len(s), axis=1).view(">u8")[0, 0])
+
+
+def _described(frequent: Frequent) -> Callable:
+    """Signature, fingerprint, size and the leading shingles of every text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, sizes, firsts = [], [], []
+            sigs, prints, sizes, firsts = [], [], [], []
             for s in shingle_sets(b.column("text")):
                 n = len(s)
                 sigs.append(xxhash.xxh64_intdigest(s.tobytes()))
+                prints.append(_print(s))
                 sizes.append(n)
-                late = np.isin(s, frequent, assume_unique=True)
-                s = np.concatenate([s[~late], s[late]])
-                firsts.append(s[: n - -(-NUM * n // DEN) + 1].view(np.int64))
-            sig = pa.array(np.array(sigs, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), b.column("h"), sig, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "k", "h", "sig", "n", "first"])
+                by = np.argsort(frequent.counts(s), kind="stable")
+                firsts.append(s[by[: n - -(-NUM * n // DEN) + 1]].view(np.int64))
+            sig, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sigs, prints))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), b.column("h"), sig, fp, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "k", "h", "sig", "fp", "n", "first"])
+
+    return of
+
+
+def _entries(frequent: Frequent, tile: int) -> Callable:
+    """A row for each node and leading shingle; in large buckets for each pair of tiles that has the node."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = b.column("first").combine_chunks() if isinstance(b.column("first"), pa.ChunkedArray) else b.column("first")
+            count = np.diff(first.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(b)), count)
+            i = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            s = first.flatten().to_numpy().view(np.uint64)
+            sig = b.column("sig").to_numpy().view(np.uint64)
+            tiles = np.maximum(1, -(-SAMPLE * frequent.counts(s) // tile))
+            at = np.repeat(np.arange(len(s)), tiles)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+            mine = (kernel.mix(sig[owner[at]]) % tiles[at].astype(np.uint64)).astype(np.int64)
+            pair = np.minimum(mine, other) * tiles[at] + np.maximum(mine, other)
+            key = kernel.mix(s[at] + pair.astype(np.uint64) * kernel.BASE)
+            rows = pa.array(owner[at])
+            arrays = [pa.array(key.view(np.int64)), b.column("sig").take(rows), b.column("fp").take(rows), b.column("n").take(rows), pa.array(i[at].astype(np.int32))]
+            names = ["key", "sig", "fp", "n", "i"]
+            if "c" in b.schema.names:
+                arrays, names = [*arrays, b.column("c").take(rows)], [*names, "c"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return of
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of rows sorted by key, many whole buckets at a time, without buckets of one row."""
+
+    def ready(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
+        t = pa.Table.from_batches(parts)
+        key = t.column("key").to_numpy()
+        twin = np.zeros(len(key), bool)
+        twin[1:] = key[1:] == key[:-1]
+        twin[:-1] |= twin[1:].copy()
+        return {c: t.column(c).to_numpy()[twin] for c in t.column_names} if twin.any() else None
+
+    parts: list[pa.RecordBatch] = []
+    waiting = 0
+    for b in batches:
+        if not len(b):
+            continue
+        if waiting > TOGETHER:
+            same = b.column("key").to_numpy() == parts[-1].column("key")[-1].as_py()
+            cut = len(b) if same.all() else int(np.argmin(same))
+            parts.append(b.slice(0, cut))
+            if cut == len(b):
+                continue
+            if (out := ready(parts)) is not None:
+                yield out
+            b, parts, waiting = b.slice(cut), [], 0
+        parts.append(b)
+        waiting += len(b)
+    if parts and (out := ready(parts)) is not None:
+        yield out
+
+
+def _near(t: dict[str, np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket within the radius that can have the similarity if their first common shingle is this one."""
+    n, i, sig = t["n"].astype(np.int64), t["i"].astype(np.int64), t["sig"]
+    for a, b in simhash.bit_sliced_pairs(t["fp"].view(np.uint64), t["key"], radius):
+        fits = (np.minimum(n[a] - i[a], n[b] - i[b]) * (NUM + DEN) >= NUM * (n[a] + n[b])) & (sig[a] != sig[b])
+        yield a[fits], b[fits]
+
+
+def _ties(radius: int) -> Callable:
+    """Rows (u, v, centre): every node of a local group with its centre, and with its nearest member."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_buckets(batches):
+            fp, sig = t["fp"].view(np.uint64), t["sig"]
+            n = len(fp)
+            label, weight = np.arange(n), np.zeros(n)
+            best = np.full(n, np.iinfo(np.int64).max)
+            for a, b in _near(t, radius):
+                if not len(a):
+                    continue
+                far = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
+                close = (radius + 1 - far).astype(np.float64)
+                weight += np.bincount(a, close, n) + np.bincount(b, close, n)
+                np.minimum.at(best, a, far * n + b)
+                np.minimum.at(best, b, far * n + a)
+                simhash._union(label, a, b)
+            while not ((up := label[label]) == label).all():
+                label = up
+            tied = np.flatnonzero(weight > 0)
+            if not len(tied):
+                continue
+            # the centre of each group: the greatest weight, then the least signature
+            by = tied[np.lexsort((sig[tied], -weight[tied], label[tied]))]
+            lead = by[np.append(True, label[by][1:] != label[by][:-1])]
+            centre = np.zeros(n, np.int64)
+            centre[label[lead]] = lead
+            to = centre[label[tied]]
+            u = np.concatenate([tied, tied])
+            v = np.concatenate([to, best[tied] % n])
+            star = np.append(np.ones(len(tied), bool), np.zeros(len(tied), bool))
+            keep = sig[u] != sig[v]
+            seen = pa.table({"u": sig[u][keep], "v": sig[v][keep], "star": star[keep]}).group_by(["u", "v", "star"]).aggregate([])
+            yield from seen.select(["u", "v", "star"]).to_batches()
+
+    return of
+
+
+def _open_pairs(radius: int) -> Callable:
+    """Rows (u, v): pairs of nodes of different components (column c) within the radius."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_buckets(batches):
+            for a, b in _near(t, radius):
+                apart = t["c"][a] != t["c"][b]
+                u, v = t["sig"][a[apart]], t["sig"][b[apart]]
+                seen = pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}).group_by(["u", "v"]).aggregate([])
+                yield from seen.select(["u", "v"]).to_batches()
 
     return of
 
@@ -101,46 +256,48 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_similar, "u long, v long")
 
 
-def _fits(n: str, i: str, m: str, j: str):
-    """Whether sets of n and m shingles can have the similarity if their first common ones are at i and j."""
-    return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (NUM + DEN) >= NUM * (F.col(n) + F.col(m))
+def _bucketed(nodes: DataFrame, frequent: Frequent, tile: int, more: str = "") -> DataFrame:
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return nodes.mapInArrow(_entries(frequent, tile), ROW + more).repartition(parts, "key").sortWithinPartitions("key")
 
 
-def similar_components(light: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(node, component)`` of linked nodes. light: rows (k, h, sig, n, first); docs: (k, h, text)."""
-    # dealt by s once, for the distinct rows, the counts and the join
-    rows = light.select("sig", "n", F.posexplode("first").alias("i", "s")).repartition("s").distinct()
-    many = rows.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct("sig", "n", "i")).alias("least")).where("c > 1")
-    near = rows.join(many.select("s", "c", F.col("least.sig").alias("least"), F.col("least.n").alias("m"), F.col("least.i").alias("j")), "s")
-    # of two nodes alone in a bucket only their own pair can link
-    near = held(near.where((F.col("c") > 2) | (F.col("sig") != F.col("least")) & _fits("n", "i", "m", "j")).drop("c"))
-    nodes = near.select(F.explode(F.array("sig", "least")).alias("sig")).distinct()
-    some = light.select("sig", "k", "h").join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("k", "h")).alias("x")).select("sig", "x.k", "x.h")
+def similar_components(nodes: DataFrame, docs: DataFrame, frequent: Frequent, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """``(node, component)`` of linked nodes. nodes: rows (sig, fp, n, first, best); docs: (k, h, text)."""
+    light = nodes.select("sig", "fp", "n", "first")
+    ties = _bucketed(light, frequent, tile).mapInArrow(_ties(radius), "u long, v long, star boolean")
+    ties = held(ties.groupBy("u", "v").agg(F.max("star").alias("star")))
+    ends = ties.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    some = nodes.join(ends, "sig", "left_semi").select("sig", F.col("best.k").alias("k"), F.col("best.h").alias("h"))
     sets = held(docs.dropDuplicates(["k", "h"]).join(some, ["k", "h"]).select("sig", "text").mapInArrow(_sets, "sig long, set binary"))
-    stars = near.where((F.col("sig") != F.col("least")) & _fits("n", "i", "m", "j")).select(F.col("sig").alias("u"), F.col("least").alias("v")).distinct()
-    first = held(_checked(stars, sets))
+    pairs = ties.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    first = held(_checked(pairs, sets))
     joined = components(first).withColumnRenamed("node", "sig")
-    placed = near.select("s", "sig", "n", "i").join(joined, "sig", "left").select("s", "sig", "n", "i", F.coalesce("component", "sig").alias("c"))
-    mixed = placed.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
-    left = held(placed.join(mixed, "s", "left_semi"))
-    a, b = (left.select("s", F.col("sig").alias(x), *[F.col(y).alias(y + x) for y in ("n", "i", "c")]) for x in "uv")
-    rest = a.join(b, "s").where((F.col("cu") < F.col("cv")) & _fits("nu", "iu", "nv", "iv")).select("u", "v").distinct()
+    # groups of a centre to which some node is not joined
+    part = ends.join(joined, "sig", "left").select("sig", F.coalesce("component", "sig").alias("c"))
+    sides = ties.where("star").select("u", "v").join(part.select(F.col("sig").alias("u"), F.col("c").alias("cu")), "u").join(part.select(F.col("sig").alias("v"), F.col("c").alias("cv")), "v")
+    apart = held(sides.where("cu != cv").select("v").distinct())
+    if apart.isEmpty():
+        return joined.withColumnRenamed("sig", "node")
+    again = ties.where("star").join(apart, "v", "left_semi").select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    left = light.join(again.join(part, "sig"), "sig")
+    rest = _bucketed(left, frequent, tile, ", c long").mapInArrow(_open_pairs(radius), "u long, v long").distinct()
     return components(first.unionByName(_checked(rest, sets)))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """One row of each component, with all its columns: the least id (nulls last), then the least text hash."""
     k, h = fresh(docs, "k", "h")
     keys = [F.xxhash64(F.col(id_col)).alias(k), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(h)]
     plain = docs.select(F.col(id_col).alias("id"), keys[0].alias("k"), keys[1].alias("h"), F.col(text_col).alias("text"))
     sample = plain.where(F.pmod("h", F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled, "s long")
     often = sample.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "s").limit(MOST)
-    frequent = np.sort(np.array([r["s"] for r in often.collect()], np.int64).view(np.uint64))
+    frequent = Frequent([(r["s"], r["c"]) for r in often.collect()])
     kind = docs.schema[id_col].dataType.simpleString()
-    light = held(plain.mapInArrow(_prefixes(frequent), f"id {kind}, k long, h long, sig long, n int, first array<long>"))
-    best = light.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "k")).alias("best"))
-    tied = similar_components(light, plain.select("k", "h", "text")).withColumnRenamed("node", "sig")
-    whole = best.join(tied, "sig", "left").groupBy(F.coalesce("component", "sig").alias("c")).agg(F.min("best").alias("best"))
+    light = plain.mapInArrow(_described(frequent), f"id {kind}, k long, h long, sig long, fp long, n int, first array<long>")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "k")).alias("best")
+    nodes = held(light.groupBy("sig").agg(best, *[F.first(c).alias(c) for c in ("fp", "n", "first")]))
+    tied = similar_components(nodes, plain.select("k", "h", "text"), frequent, radius, tile).withColumnRenamed("node", "sig")
+    whole = nodes.select("sig", "best").join(tied, "sig", "left").groupBy(F.coalesce("component", "sig").alias("c")).agg(F.min("best").alias("best"))
     stay = whole.select(F.col("best.k").alias(k), F.col("best.h").alias(h))
     rows = docs.select(*docs.columns, *keys).dropDuplicates([k, h])
     return rows.join(stay, [k, h], "left_semi").select(*docs.columns)
