@@ -31,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays; two link at a Jaccard similarity of 0.8 over five-word shingles."""
+    """One document of each component stays; SimHash candidates link at a Jaccard similarity of 0.8 over five-word shingles."""
     return keep_one(docs)
 
 
