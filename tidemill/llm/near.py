@@ -14,11 +14,13 @@ whose sizes and places rule the similarity out, are dropped. The radius is wide:
 similarity lies beyond it with a probability below one in 100,000, others far less. All that is left is
 checked on the whole sets.
 
-Equal sets are one node. A bucket never gives its pairs: each node is tied to the centre of its local
+Equal texts (by 64-bit hash) are one node. A bucket never gives its pairs: each node is tied to the centre of its local
 group (the member nearest to all others) and to its own nearest member, so that a group of near copies
 costs two rows for each copy. Only groups in which a tie to the centre failed the check are compared again,
 and then all pairs of nodes within the radius that are not joined yet are checked. A bucket that the sample
-shows to be large is cut into tiles of ``TILE`` and every pair of tiles is a group of its own.
+shows to be large is cut into tiles of ``TILE`` and every pair of tiles is a group of its own. Texts move
+only if they may be tied or copied: a bitmap of ``BITS`` bits, whatever the number of documents, rules the
+others out before each join.
 
 Defined results: a null text counts as empty, all empty texts are copies of each other; a row without
 id stays only if no other of its component has one; of rows that agree in id and text one stays.
@@ -31,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import kernel, simhash
@@ -41,7 +43,8 @@ from tidemill.llm.components import components
 #: The least similarity is NUM / DEN.
 SHINGLE, NUM, DEN, RADIUS, TILE = 5, 4, 5, 26, 4096
 #: One text in SAMPLE is sampled for frequent shingles; of those in OFTEN sampled texts the first MOST count.
-SAMPLE, OFTEN, MOST = 8, 3, 100000
+SAMPLE, OFTEN, MOST = 32, 3, 100000
+BITS = 1 << 26
 #: Rows that are compared together, at least, whole buckets each.
 TOGETHER = 1 << 15
 ROW = "key long, sig long, fp long, n int, i int"
@@ -97,48 +100,59 @@ def _print(s: np.ndarray) -> int:
     return int(np.packbits(sums * 2 > len(s), axis=1).view(">u8")[0, 0])
 
 
-def _described(frequent: Frequent) -> Callable:
-    """Signature, fingerprint, size and the leading shingles of every text."""
+def _entry_rows(frequent: Frequent, tile: int, sig: np.ndarray, sets: list[np.ndarray], c: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each node and leading shingle; in large buckets for each pair of tiles that has the node."""
+    size = np.array([len(x) for x in sets], np.int64)
+    fp = np.array([_print(x) for x in sets], np.uint64)
+    leading = []
+    for x in sets:
+        by = np.argsort(frequent.counts(x), kind="stable")
+        # all empty sets meet in one bucket
+        leading.append(x[by[: len(x) - -(-NUM * len(x) // DEN) + 1]] if len(x) else np.zeros(1, np.uint64))
+    count = np.array([len(x) for x in leading], np.int64)
+    owner = np.repeat(np.arange(len(sets)), count)
+    i = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    s = np.concatenate(leading)
+    tiles = np.maximum(1, -(-SAMPLE * frequent.counts(s) // tile))
+    at = np.repeat(np.arange(len(s)), tiles)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+    mine = (kernel.mix(sig[owner[at]]) % tiles[at].astype(np.uint64)).astype(np.int64)
+    pair = np.minimum(mine, other) * tiles[at] + np.maximum(mine, other)
+    key = kernel.mix(s[at] + pair.astype(np.uint64) * kernel.BASE)
+    who = owner[at]
+    columns = {"key": key.view(np.int64), "sig": sig[who].view(np.int64), "fp": fp[who].view(np.int64), "n": size[who].astype(np.int32), "i": i[at].astype(np.int32)}
+    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in (columns | ({} if c is None else {"c": c[who]})).items()})
+
+
+def _entries(frequent: Frequent, tile: int) -> Callable:
+    """Entries of the different texts of a task."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            sigs, prints, sizes, firsts = [], [], [], []
-            for s in shingle_sets(b.column("text")):
-                n = len(s)
-                sigs.append(xxhash.xxh64_intdigest(s.tobytes()))
-                prints.append(_print(s))
-                sizes.append(n)
-                by = np.argsort(frequent.counts(s), kind="stable")
-                firsts.append(s[by[: n - -(-NUM * n // DEN) + 1]].view(np.int64))
-            sig, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sigs, prints))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), b.column("h"), sig, fp, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "k", "h", "sig", "fp", "n", "first"])
+            new = []
+            for r, h in enumerate(b.column("h").to_pylist()):
+                if h not in seen:
+                    # a bound on memory: a text met again later is only sent again
+                    if len(seen) > 1 << 20:
+                        seen.clear()
+                    seen.add(h)
+                    new.append(r)
+            b = b.take(pa.array(new, pa.int64()))
+            sig = b.column("h").to_numpy().view(np.uint64)
+            for at, part in kernel.parts(b.column("text")):
+                yield _entry_rows(frequent, tile, sig[at : at + len(part)], list(shingle_sets(part)))
 
     return of
 
 
-def _entries(frequent: Frequent, tile: int) -> Callable:
-    """A row for each node and leading shingle; in large buckets for each pair of tiles that has the node."""
+def _entries_again(frequent: Frequent, tile: int) -> Callable:
+    """Entries of nodes whose sets are known."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first = b.column("first").combine_chunks() if isinstance(b.column("first"), pa.ChunkedArray) else b.column("first")
-            count = np.diff(first.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(b)), count)
-            i = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            s = first.flatten().to_numpy().view(np.uint64)
-            sig = b.column("sig").to_numpy().view(np.uint64)
-            tiles = np.maximum(1, -(-SAMPLE * frequent.counts(s) // tile))
-            at = np.repeat(np.arange(len(s)), tiles)
-            other = np.arange(len(at)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-            mine = (kernel.mix(sig[owner[at]]) % tiles[at].astype(np.uint64)).astype(np.int64)
-            pair = np.minimum(mine, other) * tiles[at] + np.maximum(mine, other)
-            key = kernel.mix(s[at] + pair.astype(np.uint64) * kernel.BASE)
-            rows = pa.array(owner[at])
-            arrays = [pa.array(key.view(np.int64)), b.column("sig").take(rows), b.column("fp").take(rows), b.column("n").take(rows), pa.array(i[at].astype(np.int32))]
-            names = ["key", "sig", "fp", "n", "i"]
-            if "c" in b.schema.names:
-                arrays, names = [*arrays, b.column("c").take(rows)], [*names, "c"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            if len(b):
+                yield _entry_rows(frequent, tile, b.column("sig").to_numpy().view(np.uint64), [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("set")], b.column("c").to_numpy())
 
     return of
 
@@ -148,11 +162,15 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.n
 
     def ready(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
         t = pa.Table.from_batches(parts)
-        key = t.column("key").to_numpy()
+        key, sig = t.column("key").to_numpy(), t.column("sig").to_numpy()
+        # tasks send the same text each
+        by = np.lexsort((sig, key))
+        by = by[np.append(True, (key[by][1:] != key[by][:-1]) | (sig[by][1:] != sig[by][:-1]))]
+        key = key[by]
         twin = np.zeros(len(key), bool)
         twin[1:] = key[1:] == key[:-1]
         twin[:-1] |= twin[1:].copy()
-        return {c: t.column(c).to_numpy()[twin] for c in t.column_names} if twin.any() else None
+        return {c: t.column(c).to_numpy()[by[twin]] for c in t.column_names} if twin.any() else None
 
     parts: list[pa.RecordBatch] = []
     waiting = 0
@@ -256,19 +274,40 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_similar, "u long, v long")
 
 
-def _bucketed(nodes: DataFrame, frequent: Frequent, tile: int, more: str = "") -> DataFrame:
-    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return nodes.mapInArrow(_entries(frequent, tile), ROW + more).repartition(parts, "key").sortWithinPartitions("key")
+def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bit for each hash modulo BITS: at most BITS / 64 longs come to the driver."""
+    place = F.pmod(F.col(column), F.lit(BITS))
+    words = hashes.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")).alias("b")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out
+
+
+def _maybe(spark: SparkSession, bits: np.ndarray) -> Callable[[Column], Column]:
+    """Whether a hash may be one of the bitmap's: no false negatives."""
+    sent = spark.sparkContext.broadcast(bits)
+
+    def of(hashes: pa.Array) -> pa.Array:
+        x = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(BITS - 1)
+        return pa.array((sent.value.view(np.uint64)[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1)
+
+    return F.arrow_udf(of, "boolean")
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    parts = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return entries.repartition(parts, "key").sortWithinPartitions("key")
 
 
-def similar_components(nodes: DataFrame, docs: DataFrame, frequent: Frequent, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``(node, component)`` of linked nodes. nodes: rows (sig, fp, n, first, best); docs: (k, h, text)."""
-    light = nodes.select("sig", "fp", "n", "first")
-    ties = _bucketed(light, frequent, tile).mapInArrow(_ties(radius), "u long, v long, star boolean")
+def similar_components(docs: DataFrame, frequent: Frequent, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """``(node, component)`` of linked nodes. docs: rows (h, text); a node is a text's hash h."""
+    spark = docs.sparkSession
+    entries = _dealt(docs.select("h", "text").mapInArrow(_entries(frequent, tile), ROW))
+    ties = entries.mapInArrow(_ties(radius), "u long, v long, star boolean")
     ties = held(ties.groupBy("u", "v").agg(F.max("star").alias("star")))
-    ends = ties.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    some = nodes.join(ends, "sig", "left_semi").select("sig", F.col("best.k").alias("k"), F.col("best.h").alias("h"))
-    sets = held(docs.dropDuplicates(["k", "h"]).join(some, ["k", "h"]).select("sig", "text").mapInArrow(_sets, "sig long, set binary"))
+    ends = held(ties.select(F.explode(F.array("u", "v")).alias("sig")).distinct())
+    texts = docs.where(_maybe(spark, _bitmap(ends, "sig"))(F.col("h"))).select(F.col("h").alias("sig"), "text").dropDuplicates(["sig"])
+    sets = held(texts.join(ends, "sig", "left_semi").mapInArrow(_sets, "sig long, set binary"))
     pairs = ties.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = held(_checked(pairs, sets))
     joined = components(first).withColumnRenamed("node", "sig")
@@ -279,25 +318,30 @@ def similar_components(nodes: DataFrame, docs: DataFrame, frequent: Frequent, ra
     if apart.isEmpty():
         return joined.withColumnRenamed("sig", "node")
     again = ties.where("star").join(apart, "v", "left_semi").select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    left = light.join(again.join(part, "sig"), "sig")
-    rest = _bucketed(left, frequent, tile, ", c long").mapInArrow(_open_pairs(radius), "u long, v long").distinct()
+    left = sets.join(again.join(part, "sig"), "sig").select("sig", "set", "c")
+    rest = _dealt(left.mapInArrow(_entries_again(frequent, tile), ROW + ", c long")).mapInArrow(_open_pairs(radius), "u long, v long").distinct()
     return components(first.unionByName(_checked(rest, sets)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """One row of each component, with all its columns: the least id (nulls last), then the least text hash."""
+    spark = docs.sparkSession
     k, h = fresh(docs, "k", "h")
     keys = [F.xxhash64(F.col(id_col)).alias(k), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(h)]
-    plain = docs.select(F.col(id_col).alias("id"), keys[0].alias("k"), keys[1].alias("h"), F.col(text_col).alias("text"))
+    plain = docs.select(keys[1].alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = plain.where(F.pmod("h", F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled, "s long")
     often = sample.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "s").limit(MOST)
     frequent = Frequent([(r["s"], r["c"]) for r in often.collect()])
-    kind = docs.schema[id_col].dataType.simpleString()
-    light = plain.mapInArrow(_described(frequent), f"id {kind}, k long, h long, sig long, fp long, n int, first array<long>")
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "k")).alias("best")
-    nodes = held(light.groupBy("sig").agg(best, *[F.first(c).alias(c) for c in ("fp", "n", "first")]))
-    tied = similar_components(nodes, plain.select("k", "h", "text"), frequent, radius, tile).withColumnRenamed("node", "sig")
-    whole = nodes.select("sig", "best").join(tied, "sig", "left").groupBy(F.coalesce("component", "sig").alias("c")).agg(F.min("best").alias("best"))
-    stay = whole.select(F.col("best.k").alias(k), F.col("best.h").alias(h))
-    rows = docs.select(*docs.columns, *keys).dropDuplicates([k, h])
-    return rows.join(stay, [k, h], "left_semi").select(*docs.columns)
+    light = docs.select(F.col(id_col).alias("id"), keys[0].alias("k"), keys[1].alias("h"))
+    best = light.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "k")).alias("best"), F.count("*").alias("n"))
+    tied = held(similar_components(plain, frequent, radius, tile).withColumnRenamed("node", "h"))
+    nodes = held(best.join(tied, "h", "left").where("n > 1 OR component IS NOT NULL"))
+    stay = nodes.groupBy(F.coalesce("component", "h").alias("c")).agg(F.min("best").alias("best")).select(F.col("best.k").alias(k), F.col("best.h").alias(h))
+    rows = docs.select(*docs.columns, *keys)
+    unsure = _maybe(spark, _bitmap(nodes, "h"))(F.col(h))
+    alone = rows.where(~unsure).select(*docs.columns)
+    some = rows.where(unsure).dropDuplicates([k, h])
+    # of the rows that only look like one of a group nothing goes
+    whole = nodes.select(F.col("h").alias(h)).distinct()
+    kept = some.join(stay, [k, h], "left_semi").unionByName(some.join(whole, h, "left_anti"))
+    return alone.unionByName(kept.select(*docs.columns))
