@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -124,7 +125,8 @@ def test_containment_matches_brute_force(spark, docs, none, texts):
     found = collections.Counter()
     for d, t in texts:
         for i, x in items:
-            a, b = decontaminate.shingles(x or "", 5), decontaminate.shingles(t or "", 5)
+            a = decontaminate.shingles(x or "", 5)
+            b = decontaminate.shingles(t or "", min(5, max(1, len(words(x)))), False)
             if a and len(a & b) >= 0.8 * len(a):
                 found[d, i, len(a & b)] += 1
     assert sum(found.values()) >= 8
@@ -132,11 +134,43 @@ def test_containment_matches_brute_force(spark, docs, none, texts):
         got = decontaminate.containment_pairs(docs, bench, block=block).collect()
         assert collections.Counter((r["doc_id"], r["item_id"], r["n_shared"]) for r in got) == found
     hit = {d for d, _, _ in found}
+    many = _short_items(spark)
+    assert many[0] == many[1]
     assert {r["doc_id"] for r in decontaminate.without_items(docs, bench).collect()} >= {d for d, _ in texts} - hit
     assert decontaminate.containment_pairs(none, bench).count() == 0
     assert decontaminate.containment_pairs(docs, bench.limit(0)).count() == 0
 
 
+def _short_items(spark):
+    """Pairs of 1000 items of 1 to 12 words inside longer texts, found and by brute force."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choices("abcdefgh", k=6)) for _ in range(3000)]
+    items = [r.choices(vocabulary, k=1 + i % 12) for i in range(1000)]
+    rows = []
+    for i, x in enumerate(items):
+        w = r.choices(vocabulary, k=r.randint(100, 600))
+        at = r.randint(0, len(w))
+        rows.append((i, " ".join(w[:at] + x + w[at:])))
+    bench = spark.createDataFrame([(i, " ".join(x).upper()) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(x["doc_id"], x["item_id"], x["n_shared"], x["n_item"]) for x in decontaminate.containment_pairs(docs, bench).collect()}
+    runs = collections.defaultdict(set)
+    for d, t in rows:
+        w = t.split()
+        for k in range(1, 6):
+            for p in range(len(w) - k + 1):
+                runs[tuple(w[p : p + k])].add(d)
+    want = set()
+    for i, x in enumerate(items):
+        k = min(5, len(x))
+        s = {tuple(x[p : p + k]) for p in range(len(x) - k + 1)}
+        for d, n in collections.Counter(d for y in s for d in runs[y]).items():
+            if n >= 0.8 * len(s):
+                want.add((d, i, n, len(s)))
+    assert {(i, i) for i in range(1000)} <= {(d, i) for d, i, _, _ in want}
+    return got, want
+
+
 def test_mixing_deals_shortages_to_siblings_first(spark, none):
     r = random.Random(3)
     rows = [(i, " ".join(["w"] * r.randint(0, 30)), r.choice(["en", "de", None]), f"src{r.randint(0, 5)}") for i in range(400)] + [(None, "a b", "en", None), (1, "x", "en", "src1"), (2, None, "de", "src1")]
@@ -149,10 +183,37 @@ def test_mixing_deals_shortages_to_siblings_first(spark, none):
     assert all(r["_copies"] == 2 for r in whole.collect()) and whole.count() == sum(bool(words(x[1])) for x in rows)
     assert mixing.repeat_copies(whole).count() == 2 * whole.count() and mixing.repeat_copies(whole).columns == docs.columns
     assert mixing.mix(none).count() == 0
+    # names of the operator's own columns in the input, ids that repeat or are null: same sums
+    odd = spark.createDataFrame([(None if i % 3 else 7, t, a, b, "x", 1, 2, 3, 4, "y") for i, t, a, b in rows if i is not None], "doc_id long, text string, lang string, source string, _domain string, _tokens int, _copies int, _rest int, _bucket int, _id string")
+    mixed = mixing.mix(odd, share=0.7, max_epochs=3)
+    assert mixed.columns == [*odd.columns, "__domain", "__tokens", "__copies"] and mixing.repeat_copies(mixed).columns == odd.columns
+    assert 0.6 * total < sum(r["__tokens"] * r["__copies"] for r in mixed.collect()) <= 0.7 * total
+    long_ = mixing.mix(spark.createDataFrame([(1, "w " * 300000, "en", "s"), (2, "a b", "en", "s")], docs.schema), share=1.0, max_epochs=1)
+    assert sorted((r["_tokens"], r["_copies"]) for r in long_.collect()) == [(2, 1), (300000, 1)]
+    _same_prefixes(spark)
     table = spark.createDataFrame([("a", 1, 10, 100), ("b", 1, 1000, 100), ("c", 2, 1000, 100)], "name string, weight long, cap long, budget long")
     assert {x["name"]: x["given"] for x in mixing.spread(table, [], "name").collect()} == {"a": 10, "b": 30, "c": 60}
 
 
+def _same_prefixes(spark):
+    """The cut of one leaf against a sort of all its rows, for unique, repeated and null ids."""
+    r = random.Random(17)
+    for ids in (lambda i: i, lambda i: i % 5, lambda i: None):
+        rows = [(ids(i), " ".join(r.choices(WORDS, k=r.randint(1, 9))), "en", "s1") for i in range(5000)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), share=0.3, max_epochs=1).collect()
+        total = sum(len(x[1].split()) for x in rows) * 300 // 1000
+        taken = sum(x["_tokens"] for x in got)
+        assert total - 9 <= taken <= total
+        if ids(7) == 7:
+            want, room = [], total
+            for x in sorted(rows, key=lambda x: hashlib.md5(f"42:1:{x[0]}".encode()).hexdigest()):
+                room -= len(x[1].split())
+                if room < 0:
+                    break
+                want.append(x[0])
+            assert sorted(x["doc_id"] for x in got) == sorted(want)
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 7, 1000, 4097):
         p = sharding.feistel(np.arange(n), n, 42)
@@ -189,6 +250,64 @@ def test_page_text(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_differencing_decides_pages_without_article_markup(spark):
+    """Against a plain version over known lines; with differencing off the furniture would stay."""
+    r = random.Random(12)
+    sites = []
+    for host in ("a.org", "b.org", "c.org"):
+        menu, foot = [" ".join(r.choices(WORDS, k=2)) + f" {host} {i}" for i in range(r.randint(2, 6))], [f"about {host}", f"terms {host}"]
+        for i in range(40):
+            own = [" ".join(r.choices(WORDS, k=r.randint(3, 30))) + f" {host}{i}.{x}" for x in range(r.randint(0, 12))]
+            some = [m for m in menu if r.random() < 0.9]
+            sites.append((host, f"/{r.choice('xyz')}/{i:03d}", some + own + foot))
+    sites += [("d.org", "/1", ["one", "two"]), ("d.org", "/2", ["one", "two"]), ("e.org", "/", ["alone"])]
+    tags = ["div", "p", "li", "td", "section", "h2", "dd"]
+    rows = [(n, f"http://{h}{p}?q=1", "<body>" + "".join(f"<{t}>{x}</{t}>" for x in lines for t in [r.choice(tags)]), "x") for n, (h, p, lines) in enumerate(sites)]
+    got = {x["page_id"]: x["text"] for x in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, lines string").repartition(3)).collect()}
+
+    def lcs(a, b):
+        if not a or not b:
+            return []
+        table = [[[] for _ in range(len(b) + 1)] for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + [a[i]] if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j], key=len)
+        return table[-1][-1]
+
+    def alike(a, b):
+        parts = zip(a.split("/"), b.split("/"))
+        n = 0
+        for x, y in parts:
+            if x != y:
+                return n + next((i for i, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
+            n += 1000
+        return n
+
+    changed = 0
+    for n, (host, path, lines) in enumerate(sites):
+        order = sorted((p, m) for m, (h, p, _) in enumerate(sites) if h == host)
+        at = order.index((path, n))
+        near = [sites[order[x][1]] for x in (at - 1, at + 1) if 0 <= x < len(order) and sites[order[x][1]][2] != lines]
+        partner = max(near, key=lambda x: alike(path, x[1]), default=None)
+        shared = lcs(lines, partner[2]) if partner else []
+        assert got[n] == "\n\n".join(x for x in lines if x not in shared)
+        changed += got[n] != "\n\n".join(lines)
+    assert changed > 100
+
+
+def test_parsing_is_linear_and_takes_odd_markup():
+    began = time.perf_counter()
+    for tag in ("div", "b", "li", "article"):
+        assert [x.text for x in pages.lines_of(f"<{tag}>" * 8000 + "x")] == ["x"]
+        pages.lines_of(f"<{tag}>" * 8000 + f"</{tag}>" * 8000 + "</p>" * 8000)
+    assert time.perf_counter() - began < 2
+    for html, want in (
+        ("<svg/>a<math />b<svg><text>no</text></svg>c", ["a b c"]), ("a<script>x", ["a"]), ("<p>a<b>b</p>c</b>d", ["ab", "cd"]), ("<ul><li>a<li>b</ul>c", ["a", "b", "c"]),
+        ("<!-- <p>no</p> -->y", ["y"]), ("<p hidden>n</p><p style='display: none'>n</p>s", ["s"]), ("a&nbsp;&amp;&#x41;&bogus;", ["a &A&bogus;"]), ("", []), ("<", ["<"]), ("<p", []),
+    ):
+        assert [x.text for x in pages.lines_of(html)] == want, html
+
+
 def test_longest_common_subsequence():
     r = random.Random(4)
     for n in (0, 1, 6, 12):
@@ -197,7 +316,7 @@ def test_longest_common_subsequence():
         for i in range(n):
             for j in range(9):
                 best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
-        assert pages.common(a, b).sum() == best[n][9]
+        assert pages.common(a, b).sum() == pages.common(a, b, cells=1).sum() == best[n][9]
 
 
 def test_language_filters(spark, none):
@@ -234,6 +353,14 @@ def test_media_round_trip_and_damage(spark, docs, none, texts, tmp_path):
     archive.write_bytes(data)
     hurt = media.media_features(media.read_media(spark, str(tmp_path / "m"), retries=2)).collect()
     assert len(hurt) == len(texts) and sum(r["error"] is not None for r in hurt) == 1
+    archive.write_bytes(data[:-40])  # no directory any more
+    gone = media.media_features(media.read_media(spark, str(tmp_path / "m"), retries=2)).collect()
+    assert 0 < sum(r["id"] is None and r["payload_sha256"] is None and archive.name in r["error"] for r in gone) and len(gone) < len(texts)
+    two = spark.createDataFrame([("a", "x"), (None, "y")], "doc_id string, text string").withColumn("media", F.lit(1))
+    for mode, n in (("append", 2), ("append", 4), ("overwrite", 2)):
+        media.store(two, str(tmp_path / "t"), mode=mode)
+        back = media.media_features(media.read_media(spark, str(tmp_path / "t"), id_type="string")).collect()
+        assert collections.Counter(r["id"] for r in back) == {"a": n // 2, None: n // 2} and all(r["error"] is None for r in back)
     media.store(none, str(tmp_path / "e"))
     assert media.read_media(spark, str(tmp_path / "e")).count() == 0
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -52,3 +55,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def partition_sizes(df: DataFrame) -> dict[int, int]:
     """Rows of each partition of a checkpointed frame: a number for each partition comes to the driver."""
     return {r[0]: r[1] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+
+
+#: Bits of a bitmap of hashes.
+BITS = 1 << 26
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bit for each hash modulo BITS: at most BITS / 64 longs come to the driver, however many hashes there are."""
+    place = F.pmod(F.col(column), F.lit(BITS))
+    words = hashes.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")).alias("b")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out
+
+
+def maybe_in(spark: SparkSession, bits: np.ndarray) -> Callable[[Column], Column]:
+    """Whether a hash may be one of the bitmap's: no false negatives."""
+    sent = spark.sparkContext.broadcast(bits)
+
+    def of(hashes: pa.Array) -> pa.Array:
+        x = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(BITS - 1)
+        return pa.array((sent.value.view(np.uint64)[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1)
+
+    return F.arrow_udf(of, "boolean")

@@ -1,17 +1,20 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search, verified exactly.
 
-Texts are lower-cased (A-Z) and cut into words and five-word shingles (fewer words: the whole
-sequence is the only shingle; none: no shingle). The containment of an item in a document is the
-share of the item's different shingles that the document has; pairs at ``threshold`` or more count.
+Texts are lower-cased (A-Z) and cut into words and five-word shingles. An item of fewer words has its
+whole sequence as its only shingle, which a document has if the words stand in it side by side. The
+containment of an item in a document is the share of the item's different shingles that the document
+has; pairs at ``threshold`` or more count.
 
 A short item and a long document have a tiny Jaccard similarity however much of the item the
 document holds, so both sides are cut to one size. Items fall into classes by their number of
-shingles (up to 16, 32, 64, ...). For each class in use a document is covered by windows of twice the
+shingles (up to 1, 2, 4, 8, ...). For each class in use a document is covered by windows of twice the
 class size, half overlapping, so that a passage of the class lies whole in some window. Item and
-window are compared by ``hashes`` one-row MinHash bands: window minima come from block minima,
-which the next class merges in pairs. A candidate shares any one minimum: at containment 0.8 the
-similarity to its window is at least 0.19, so that 64 bands miss less than one pair in 600 000.
-Each candidate is then checked on its shingles themselves, over the whole document.
+window are compared by ``hashes`` one-row MinHash bands: window minima come from block minima, from
+the least class in use on, which the next class merges in pairs. A candidate shares any one minimum: at
+containment 0.8 the similarity to its window is at least 0.19 in every class, so that 64 bands miss less
+than one pair in 600 000. Items below the shingle length are looked up by the hash of their words among
+all runs of as many words. Each candidate is then checked on its shingles themselves, over the whole
+document.
 
 Items are the query set. They are taken in blocks of ``block`` items and ``block_bytes`` bytes of
 text at most, one after another, and each block goes to every task, so what is broadcast has a bound
@@ -37,38 +40,30 @@ from tidemill.llm import kernel
 
 SHINGLE, THRESHOLD, HASHES = 5, 0.8, 64
 BLOCK, BLOCK_BYTES = 20_000, 16 << 20
-SMALLEST = 16
 
 _draw = kernel.mix(np.arange(1, 2 * 256 + 1, dtype=np.uint64) * kernel.BASE)
 FACTOR = _draw[:256] | np.uint64(1)
 OFFSET = _draw[256:]
 
 
-def shingles(text: str, n: int) -> frozenset[bytes]:
-    """The different shingles themselves, as bytes."""
+def shingles(text: str, n: int, short: bool = True) -> frozenset[bytes]:
+    """The different shingles themselves, as bytes; short: a text of fewer words is one shingle."""
     found = kernel.LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes().split()
-    if not found:
+    if not found or len(found) < n and not short:
         return frozenset()
     k = min(n, len(found))
     return frozenset(b" ".join(found[i : i + k]) for i in range(len(found) - k + 1))
 
 
-def _shingle_hashes(w: kernel.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and row of every shingle of the rows, and the index of each row's first."""
-    at, h = kernel.runs(w, n)
-    row = w.row[at]
-    count = np.diff(w.first)
-    short = np.flatnonzero((count > 0) & (count < n))
-    if len(short):
-        few = []
-        for r in short.tolist():
-            x = w.hash[w.first[r] : w.first[r + 1]]
-            few.append(kernel.rolling(x, len(x), 0xA0761D6478BD642F)[0])
-        h = np.concatenate([h, np.array(few, np.uint64)])
-        row = np.concatenate([row, short])
-        by = np.argsort(row, kind="stable")
-        h, row = h[by], row[by]
-    return h, row, np.searchsorted(row, np.arange(len(count) + 1))
+def _lookup(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return table[(x >> np.uint64(32)) & np.uint64(0xFFFF)]
+
+
+def _marks(x: np.ndarray) -> np.ndarray:
+    """A cheap test of 2^16 bits that rules most other values out."""
+    table = np.zeros(1 << 16, bool)
+    table[(x >> np.uint64(32)) & np.uint64(0xFFFF)] = True
+    return table
 
 
 class Index:
@@ -80,42 +75,49 @@ class Index:
         column = pa.array(texts, pa.large_string())
         raw, off = kernel.buffers(column)
         self.items: list[np.ndarray] = []
+        few: dict[int, list[tuple[np.uint64, int]]] = defaultdict(list)
         for i, j in kernel.spans(off):
-            h, _, first = _shingle_hashes(kernel.words(raw, off, i, j, lower=True), n)
-            self.items += [np.unique(h[first[r] : first[r + 1]]) for r in range(j - i)]
+            w = kernel.words(raw, off, i, j, lower=True)
+            at, h = kernel.runs(w, n)
+            first = np.searchsorted(at, w.first)
+            for r, count in enumerate(np.diff(w.first).tolist()):
+                if 0 < count < n:
+                    few[count].append((kernel.rolling(w.hash[w.first[r] : w.first[r + 1]], count)[0], len(self.items)))
+                self.items.append(np.unique(h[first[r] : first[r + 1]]))
+        self.few = {}
+        for count, found in few.items():
+            values = np.array([x for x, _ in found], np.uint64)
+            by = np.argsort(values)
+            self.few[count] = (values[by], np.array([i for _, i in found])[by], _marks(values))
         members: dict[int, list[int]] = defaultdict(list)
         for i, x in enumerate(self.items):
             if len(x):
-                members[max(0, int(np.ceil(np.log2(len(x) / SMALLEST))))].append(i)
+                members[(len(x) - 1).bit_length()].append(i)
+        self.least = min(members, default=0)
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for level, who in members.items():
             sig = np.array([[(self.items[i] * FACTOR[k] + OFFSET[k]).min() for k in range(hashes)] for i in who], np.uint64)
             bands = []
             for k in range(hashes):
                 by = np.argsort(sig[:, k])
-                table = np.zeros(1 << 16, bool)
-                table[self._slot(sig[:, k])] = True
-                bands.append((sig[by, k], np.array(who)[by], table))
+                bands.append((sig[by, k], np.array(who)[by], _marks(sig[:, k])))
             self.classes[level] = bands
 
-    @staticmethod
-    def _slot(x: np.ndarray) -> np.ndarray:
-        return (x >> np.uint64(32)) & np.uint64(0xFFFF)
-
     def candidates(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
         """(row, item) pairs that share a minimum in some window."""
         if not self.classes or not len(h):
             return []
         count = np.diff(first)
         rows = np.flatnonzero(count)
-        blocks = -(-count[rows] // SMALLEST)
+        size = 1 << self.least
+        blocks = -(-count[rows] // size)
         owner = np.repeat(rows, blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begin = first[owner] + nth * SMALLEST
+        begin = first[owner] + nth * size
         # the blocks of each level, and where a window joins a block with the next of its row
         plan, own, number = [], owner, nth
-        for level in range(max(self.classes) + 1):
-            if level:
+        for level in range(self.least, max(self.classes) + 1):
+            if level > self.least:
                 starts = np.flatnonzero(number % 2 == 0)
                 own, number = own[starts], number[starts] // 2
             else:
@@ -125,7 +127,7 @@ class Index:
         width = np.int64(len(self.items))
         for k in range(self.hashes):
             least = h * FACTOR[k] + OFFSET[k]
-            for level, (starts, own, joined) in enumerate(plan):
+            for level, (starts, own, joined) in enumerate(plan, self.least):
                 least = np.minimum.reduceat(least, starts)
                 bands = self.classes.get(level)
                 if bands is None:
@@ -133,7 +135,7 @@ class Index:
                 window = least.copy()
                 np.minimum(least[:-1], least[1:], out=window[:-1], where=joined)
                 values, who, table = bands[k]
-                hit = np.flatnonzero(table[self._slot(window)])
+                hit = np.flatnonzero(_lookup(table, window))
                 if not len(hit):
                     continue
                 x = window[hit]
@@ -149,18 +151,39 @@ class Index:
         """(row, item, shared shingles) of the pairs at the threshold, for all rows of a column."""
         raw, off = kernel.buffers(texts)
         for i, j in kernel.spans(off):
-            h, _, first = _shingle_hashes(kernel.words(raw, off, i, j, lower=True), self.n)
+            w = kernel.words(raw, off, i, j, lower=True)
+            at, h = kernel.runs(w, self.n)
+            first = np.searchsorted(at, w.first)
             near: dict[int, list[int]] = defaultdict(list)
             for r, item in self.candidates(h, first):
                 own = h[first[r] : first[r + 1]]
                 if np.isin(self.items[item], own).sum() >= threshold * len(self.items[item]):
                     near[r].append(item)
             for r, who in near.items():
-                have = shingles(raw[off[i + r] : off[i + r + 1]].tobytes().decode(), self.n)
+                have = shingles(raw[off[i + r] : off[i + r + 1]].tobytes().decode(), self.n, False)
                 for item in who:
                     shared = len(self.sets[item] & have)
                     if shared >= threshold * len(self.sets[item]):
                         yield i + r, item, shared
+            for r, item in self.short_matches(w):
+                yield i + r, item, 1
+
+    def short_matches(self, w: kernel.Words) -> Iterator[tuple[int, int]]:
+        """(row, item) of the items below the shingle length whose words the row has side by side."""
+        for count, (values, who, table) in self.few.items():
+            at, h = kernel.runs(w, count)
+            hit = np.flatnonzero(_lookup(table, h))
+            lo, hi = np.searchsorted(values, h[hit], "left"), np.searchsorted(values, h[hit], "right")
+            seen: set[tuple[int, int]] = set()
+            for p, a, b in zip(at[hit].tolist(), lo.tolist(), hi.tolist(), strict=True):
+                for item in who[a:b].tolist():
+                    pair = (int(w.row[p]), item)
+                    if pair in seen:
+                        continue
+                    found = b" ".join(w.data[w.start[q] : w.end[q]].tobytes() for q in range(p, p + count))
+                    if found in self.sets[item]:
+                        seen.add(pair)
+                        yield pair
 
 
 def blocks_of(items: DataFrame, id_col: str, text_col: str, block: int, block_bytes: int) -> Iterator[list[tuple]]:

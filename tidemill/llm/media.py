@@ -2,19 +2,22 @@
 
 ``store`` writes each payload as a grey 8-bit PNG of width 64 (zlib-packed, lossless) into ZIP
 archives, members uncompressed, through a data source writer: each task writes archives of its own
-under names no other attempt uses, and the driver commits the list of finished ones, so a lost or
-repeated task leaves nothing that a reader sees.
+under names no other attempt uses, and the driver commits the list of finished ones in a file of its
+own, so a lost or repeated task leaves nothing that a reader sees and a further ``store`` adds to what is
+there (mode overwrite replaces it).
 
 ``MediaSource`` reads such a folder. The driver only lists the committed archives and plans byte
 ranges over them; a task reads the archive's directory (its last bytes), takes the members whose
 offsets fall into its range, and reads each member by offset on its own: a failed or damaged read is
 tried again from that offset, ``retries`` times, without touching the others; a member that stays
 unreadable gives a row with its error and no payload, so that one bad member costs neither the
-partition nor the job. Batches of ``batch_bytes`` leave through Arrow.
+partition nor the job. A directory is tried as often; one that stays unreadable gives a row without id for
+each range of its archive. Batches of ``batch_bytes`` leave through Arrow.
 
 Files are reached through pyarrow file systems by URI, so the folder may be any that executors and
-driver share. Defined results: a null text is an empty payload, which is padded to one row of 64
-zero bytes; an empty table writes no archive and reads back no rows.
+driver share. Ids of any type that casts to text and back are kept as text. Defined results: a null text
+is an empty payload, which is padded to one row of 64 zero bytes; a null id stays null; an empty table
+writes no archive and reads back no rows; equal rows are members of their own.
 """
 
 from __future__ import annotations
@@ -41,8 +44,9 @@ from tidemill.llm import kernel
 
 WIDTH = 64
 ARCHIVE_BYTES, SPLIT_BYTES, BATCH_BYTES, RETRIES = 64 << 20, 8 << 20, 8 << 20, 3
-MANIFEST = "_committed.json"
-SCHEMA = "id long, n_bytes long, media binary, error string"
+#: Each commit leaves one such file; a reader takes all of them.
+MANIFEST = "_committed-"
+SCHEMA = "id string, n_bytes long, media binary, error string"
 
 PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -100,10 +104,10 @@ class Written(WriterCommitMessage):
 
 
 class MediaWriter(DataSourceArrowWriter):
-    """Rows (id long, n_bytes long, media binary) into ZIP archives."""
+    """Rows (id string, n_bytes long, media binary) into ZIP archives."""
 
-    def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
+    def __init__(self, options: dict[str, str], overwrite: bool = False) -> None:
+        self.path, self.overwrite = options["path"], overwrite
         self.limit = int(options.get("archive_bytes", ARCHIVE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -138,9 +142,17 @@ class MediaWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
+        old = manifests(fs, root) if self.overwrite else []
         found = sorted(x for m in messages if m is not None for x in m.archives)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{root}/_part-{name}") as f:
             f.write(json.dumps(found).encode())
+        fs.move(f"{root}/_part-{name}", f"{root}/{MANIFEST}{name}.json")
+        for path in old:
+            gone = _listed(fs, path)
+            fs.delete_file(path)
+            for archive, _ in gone:
+                fs.delete_file(f"{root}/{archive}")
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = open_fs(self.path)
@@ -149,6 +161,16 @@ class MediaWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{root}/{name}")
 
 
+def manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    """The paths of all commits."""
+    return sorted(x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.is_file and x.base_name.startswith(MANIFEST))
+
+
+def _listed(fs: pafs.FileSystem, path: str) -> list[tuple[str, int]]:
+    with fs.open_input_stream(path) as f:
+        return [tuple(x) for x in json.loads(f.read())]
+
+
 class _Stream(io.RawIOBase):
     """What zipfile needs of a sink that can't seek."""
 
@@ -179,8 +201,7 @@ class MediaReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         fs, root = open_fs(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
+        archives = [x for path in manifests(fs, root) for x in _listed(fs, path)]
         ranges = [Range(name, at, min(size, at + self.split)) for name, size in archives for at in range(0, size, self.split)]
         return ranges or [Range("", 0, 0)]
 
@@ -189,8 +210,11 @@ class MediaReader(DataSourceReader):
             return
         fs, root = open_fs(self.path)
         path = f"{root}/{partition.archive}"
-        with fs.open_input_file(path) as f:
-            members = [x for x in zipfile.ZipFile(f).infolist() if partition.start <= x.header_offset < partition.end]
+        try:
+            members = [x for x in self.directory(fs, path) if partition.start <= x.header_offset < partition.end]
+        except (OSError, ValueError, zipfile.BadZipFile) as e:
+            yield self._rows([(None, None, None, f"{partition.archive} from {partition.start}: {type(e).__name__}: {e}")])
+            return
         rows: list[tuple] = []
         held = 0
         for x in members:
@@ -204,6 +228,18 @@ class MediaReader(DataSourceReader):
         if rows:
             yield self._rows(rows)
 
+    def directory(self, fs: pafs.FileSystem, path: str) -> list[zipfile.ZipInfo]:
+        """The members of an archive, read anew after each failure."""
+        for attempt in range(self.retries):
+            try:
+                with fs.open_input_file(path) as f:
+                    return zipfile.ZipFile(f).infolist()
+            except (OSError, ValueError, zipfile.BadZipFile):
+                if attempt == self.retries - 1:
+                    raise
+                time.sleep(0.05 * 2**attempt)
+        return []
+
     def member(self, fs: pafs.FileSystem, path: str, x: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         """The bytes at one member's offset, read anew after each failure."""
         error = ""
@@ -227,7 +263,7 @@ class MediaReader(DataSourceReader):
 
     @staticmethod
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        kinds = [pa.string(), pa.int64(), pa.binary(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "n_bytes", "media", "error"])
 
 
@@ -243,11 +279,11 @@ class MediaSource(DataSource):
         return MediaReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> MediaWriter:  # noqa: ANN001
-        return MediaWriter(dict(self.options))
+        return MediaWriter(dict(self.options), overwrite)
 
 
-def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes every text of docs (id: long) as a member of the archives at path."""
+def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append") -> None:
+    """Writes every text of docs as a member of archives at path, beside (append) or instead of (overwrite) what is there."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,14 +295,15 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 )
 
     docs.sparkSession.dataSource.register(MediaSource)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(pack, "id long, n_bytes long, media binary")
-    rows.write.format("tidemill_media").mode("append").save(path)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInArrow(pack, "id string, n_bytes long, media binary")
+    rows.write.format("tidemill_media").mode(mode).save(path)
 
 
-def read_media(spark, path: str, **options) -> DataFrame:  # noqa: ANN001
+def read_media(spark, path: str, id_type: str = "long", **options) -> DataFrame:  # noqa: ANN001
     """``(id, n_bytes, media, error)`` of all members under path."""
     spark.dataSource.register(MediaSource)
-    return spark.read.format("tidemill_media").options(**options).load(path)
+    found = spark.read.format("tidemill_media").options(**options).load(path)
+    return found.withColumn("id", F.col("id").cast(id_type))
 
 
 def feature_of(payload: bytes) -> str:
@@ -287,19 +324,19 @@ def media_features(media: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for key, n, stored, error in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for stored, error in zip(b.column("media").to_pylist(), b.column("error").to_pylist(), strict=True):
                 try:
                     if stored is None:
                         raise ValueError(error)
                     payload = decode_png(stored)
-                    rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload), None))
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload), None))
                 except (ValueError, zlib.error, struct.error) as e:
-                    rows.append((key, n, None, None, None, None, None, None, str(e)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                    rows.append((None, None, None, None, None, None, str(e)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=NAMES)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=NAMES)
 
-    kinds = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    kinds = f"id {media.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     return media.select("id", "n_bytes", "media", "error").mapInArrow(scan, kinds)
 
 

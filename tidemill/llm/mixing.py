@@ -10,12 +10,17 @@ All arithmetic is on integers; what rounding leaves goes out by running floors.
 
 A leaf with budget b and t tokens gives b div t whole epochs, and of one more epoch, in the seeded
 order of that epoch, the longest prefix of documents whose tokens fit into b mod t. The prefix is
-found without sorting a leaf: rows fall into buckets by the leading digits of their order key, bucket
-sums find the one bucket where the budget ends, and only that bucket's rows are ordered.
+found without sorting a leaf: rows fall into buckets by the leading digits of their order key (a hash of
+seed, epoch and id), bucket sums find the one bucket where the budget ends, cells of that bucket (a key and
+the leading digits of a hash of the text, for ids that repeat or are null) find the cell, and only that
+cell's rows are ordered. All sums run over a held table of ids, hashes and token counts; the texts are
+read twice, once for it and once for the rows taken.
 
 Defined results: tokens are words; a null text has none, and rows without tokens are never taken; a
 null source or language is a node of its own (written as an empty string); equal rows are taken
-separately; an empty table gives none.
+separately; an empty table gives none. Columns of any name pass through; the added ones get more leading
+underscores where the input has ``_domain``, ``_tokens`` or ``_copies`` and are always the last three.
+Rows that agree in id and text are ordered by one task if the budget ends among them.
 """
 
 from __future__ import annotations
@@ -86,57 +91,72 @@ def mix(
     docs: DataFrame, share: float = 0.5, max_epochs: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text",
     domain: Column | None = None, weights: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """All rows taken at least once, with the input's columns and ``_domain``, ``_tokens``, ``_copies``.
+    """All rows taken at least once, with the input's columns and, last, ``_domain``, ``_tokens``, ``_copies``.
 
     ``share``: total budget as a share of all tokens, in thousandths.
     """
     weights = weights or {"domain": F.lit(1).cast("long"), "lang": lang_weight(F.col("lang")), "source": F.lit(1).cast("long")}
     domain = domain_of(F.col("source")) if domain is None else domain
-    d, lang, source, tokens, key, copies = fresh(docs, "domain", "lang", "source", "tokens", "key", "copies")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    d, lang, source, tokens, copies, name, more, epochs, rest, bucket, room, sub, left, total_ = fresh(
+        docs, "domain", "lang", "source", "tokens", "copies", "id", "text_hash", "epochs", "rest", "bucket", "room", "cell", "left", "sum"
+    )
+    leaf = [d, lang, source]
     rows = docs.withColumns(
-        {d: domain, lang: F.coalesce(F.col("lang"), F.lit("")), source: F.coalesce(F.col("source"), F.lit("")), tokens: token_count(F.col(text_col))}
-    ).where(F.col(tokens) > 0)
-    sums = held(rows.groupBy(F.col(d).alias("domain"), F.col(lang).alias("lang"), F.col(source).alias("source")).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("n")))
+        {
+            d: domain, lang: F.coalesce(F.col("lang"), F.lit("")), source: F.coalesce(F.col("source"), F.lit("")), tokens: token_count(F.col(text_col)),
+            name: F.coalesce(F.col(id_col).cast("string"), F.lit("")), more: F.hex(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))),
+        }
+    ).where(F.col(tokens) > 0)
+    light = held(rows.select(*leaf, tokens, name, more))
+    sums = held(light.groupBy(F.col(d).alias("domain"), F.col(lang).alias("lang"), F.col(source).alias("source")).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("n")))
     whole, most, n_leaves = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
     total = F.lit(int(whole) * round(share * 1000) // 1000).cast("long")
     plan = budgets(sums, weights, total, max_epochs)
-    plan = plan.select(
-        *[F.col(c).alias(x) for c, x in zip(LEVELS, (d, lang, source), strict=True)],
-        F.expr("given div tokens").cast("long").alias("_epochs"),
-        (F.col("given") % F.col("tokens")).cast("long").alias("_rest"),
+    plan = held(
+        plan.select(
+            *[F.col(c).alias(x) for c, x in zip(LEVELS, leaf, strict=True)],
+            F.expr("given div tokens").cast("long").alias(epochs),
+            (F.col("given") % F.col("tokens")).cast("long").alias(rest),
+        )
     )
-    plan = held(plan)
-    few = n_leaves <= FEW_LEAVES
-    hint = F.broadcast if few else (lambda x: x)
-    # the order of the epoch that is cut, by digits of a hash that any engine has
-    rows = rows.join(hint(plan), [d, lang, source])
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("_epochs") + 1).cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = rows.withColumn(key, order)
+    hint = F.broadcast if n_leaves <= FEW_LEAVES else (lambda x: x)
     digits = 1
     while most > BUCKET_ROWS * 16**digits and digits < 8:
         digits += 1
-    bucket = F.substring(F.col(key), 1, digits)
-    leaf = [d, lang, source]
-    light = rows.select(*leaf, bucket.alias("_bucket"), F.col(tokens).alias("_n"), "_rest")
-    filled = light.groupBy(*leaf, "_bucket").agg(F.sum("_n").alias("_n"), F.first("_rest").alias("_rest"))
-    filled = filled.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = filled.where("_upto > _rest").groupBy(*leaf).agg(F.min(F.struct("_bucket", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_room"))).alias("_cut"))
-    cut = held(cut.select(*leaf, "_cut._bucket", "_cut._room"))
-    rows = rows.join(hint(cut), leaf, "left").withColumn("_mine", bucket)
-    outside = rows.where("_bucket IS NULL OR _mine != _bucket")
-    outside = outside.withColumn(copies, F.col("_epochs") + F.when(F.col("_bucket").isNull() | (F.col("_mine") < F.col("_bucket")), 1).otherwise(0))
-    ordered = Window.partitionBy(*leaf).orderBy(key, tokens, F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.where("_mine = _bucket").withColumn("_sum", F.sum(tokens).over(ordered))
-    inside = inside.withColumn(copies, F.col("_epochs") + F.when(F.col("_sum") <= F.col("_room"), 1).otherwise(0)).drop("_sum")
+    # the order of the epoch that is cut, by digits of a hash that any engine has
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col(epochs) + 1).cast("string"), F.col(name)))
+    head, cell = F.substring(key, 1, digits), F.concat(key, F.substring(F.lpad(F.col(more), 16, "0"), 1, digits))
+
+    def ends(parts: DataFrame, by: str, limit: str) -> DataFrame:
+        """For every leaf the first of its parts (sums of tokens) at which the limit is passed, and what is left for it."""
+        upto = F.sum(total_).over(Window.partitionBy(*leaf).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+        over = parts.withColumn(left, F.col(limit) - upto + F.col(total_)).where(F.col(left) < F.col(total_))
+        first = over.groupBy(*leaf).agg(F.min(F.struct(F.col(by), F.col(left))).alias(by))
+        return first.select(*leaf, F.col(f"{by}.{by}").alias(by), F.col(f"{by}.{left}").alias(room))
+
+    def summed(x: DataFrame, by: str, limit: str) -> DataFrame:
+        return x.groupBy(*leaf, by).agg(F.sum(tokens).alias(total_), F.first(limit).alias(limit))
+
+    cut = held(ends(summed(light.join(hint(plan), leaf).withColumn(bucket, head), bucket, rest), bucket, rest))
+    inner = light.join(hint(plan.drop(rest)), leaf).withColumn(bucket, head).join(hint(cut), [*leaf, bucket]).withColumn(sub, cell)
+    cells = summed(inner.withColumnRenamed(room, rest), sub, rest)
+    cut = held(cut.drop(room).join(ends(cells, sub, rest), leaf, "left"))
+    rows = rows.join(hint(plan), leaf).join(hint(cut), leaf, "left")
+    # cells sort as their buckets do; a leaf that no cell ends takes all its rows
+    before = F.col(bucket).isNull() | (head < F.col(bucket)) | ((head == F.col(bucket)) & F.coalesce(cell < F.col(sub), F.lit(True)))
+    here = F.coalesce((head == F.col(bucket)) & (cell == F.col(sub)), F.lit(False))
+    outside = rows.where(~here).withColumn(copies, F.col(epochs) + F.when(before, 1).otherwise(0))
+    ordered = Window.partitionBy(*leaf).orderBy(more, tokens).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.where(here).withColumn(total_, F.sum(tokens).over(ordered))
+    inside = inside.withColumn(copies, F.col(epochs) + F.when(F.col(total_) <= F.col(room), 1).otherwise(0)).drop(total_)
     out = outside.unionByName(inside).where(F.col(copies) > 0)
-    return out.select(*docs.columns, F.col(d).alias("_domain"), F.col(tokens).alias("_tokens"), F.col(copies).cast("long").alias("_copies"))
+    return out.select(*docs.columns, F.col(d), F.col(tokens), F.col(copies).cast("long").alias(copies))
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:
     """The taken rows with the input's columns alone, each as often as it was taken."""
-    plain = [c for c in mixed.columns if c not in ("_domain", "_tokens", "_copies")]
-    return mixed.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*plain)
+    copies = mixed.columns[-1]
+    return mixed.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*mixed.columns[:-3])
 
 
 #: The same result in SQL, for unique ids: (doc_id, domain, lang, source, n_tokens, copies).

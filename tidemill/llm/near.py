@@ -19,7 +19,7 @@ group (the member nearest to all others) and to its own nearest member, so that
 costs two rows for each copy. Only groups in which a tie to the centre failed the check are compared again,
 and then all pairs of nodes within the radius that are not joined yet are checked. A bucket that the sample
 shows to be large is cut into tiles of ``TILE`` and every pair of tiles is a group of its own. Texts move
-only if they may be tied or copied: a bitmap of ``BITS`` bits, whatever the number of documents, rules the
+only if they may be tied or copied: a bitmap of ``cluster.BITS`` bits, whatever the number of documents, rules the
 others out before each join.
 
 Defined results: a null text counts as empty, all empty texts are copies of each other; a row without
@@ -33,18 +33,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import kernel, simhash
-from tidemill.llm.cluster import fresh, held
+from tidemill.llm.cluster import bitmap, fresh, held, maybe_in
 from tidemill.llm.components import components
 
 #: The least similarity is NUM / DEN.
 SHINGLE, NUM, DEN, RADIUS, TILE = 5, 4, 5, 26, 4096
 #: One text in SAMPLE is sampled for frequent shingles; of those in OFTEN sampled texts the first MOST count.
 SAMPLE, OFTEN, MOST = 32, 3, 100000
-BITS = 1 << 26
 #: Rows that are compared together, at least, whole buckets each.
 TOGETHER = 1 << 15
 ROW = "key long, sig long, fp long, n int, i int"
@@ -274,26 +273,6 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_similar, "u long, v long")
 
 
-def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bit for each hash modulo BITS: at most BITS / 64 longs come to the driver."""
-    place = F.pmod(F.col(column), F.lit(BITS))
-    words = hashes.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")).alias("b")).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return out
-
-
-def _maybe(spark: SparkSession, bits: np.ndarray) -> Callable[[Column], Column]:
-    """Whether a hash may be one of the bitmap's: no false negatives."""
-    sent = spark.sparkContext.broadcast(bits)
-
-    def of(hashes: pa.Array) -> pa.Array:
-        x = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(BITS - 1)
-        return pa.array((sent.value.view(np.uint64)[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1)
-
-    return F.arrow_udf(of, "boolean")
-
-
 def _dealt(entries: DataFrame) -> DataFrame:
     parts = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return entries.repartition(parts, "key").sortWithinPartitions("key")
@@ -306,7 +285,7 @@ def similar_components(docs: DataFrame, frequent: Frequent, radius: int = RADIUS
     ties = entries.mapInArrow(_ties(radius), "u long, v long, star boolean")
     ties = held(ties.groupBy("u", "v").agg(F.max("star").alias("star")))
     ends = held(ties.select(F.explode(F.array("u", "v")).alias("sig")).distinct())
-    texts = docs.where(_maybe(spark, _bitmap(ends, "sig"))(F.col("h"))).select(F.col("h").alias("sig"), "text").dropDuplicates(["sig"])
+    texts = docs.where(maybe_in(spark, bitmap(ends, "sig"))(F.col("h"))).select(F.col("h").alias("sig"), "text").dropDuplicates(["sig"])
     sets = held(texts.join(ends, "sig", "left_semi").mapInArrow(_sets, "sig long, set binary"))
     pairs = ties.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = held(_checked(pairs, sets))
@@ -338,7 +317,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     nodes = held(best.join(tied, "h", "left").where("n > 1 OR component IS NOT NULL"))
     stay = nodes.groupBy(F.coalesce("component", "h").alias("c")).agg(F.min("best").alias("best")).select(F.col("best.k").alias(k), F.col("best.h").alias(h))
     rows = docs.select(*docs.columns, *keys)
-    unsure = _maybe(spark, _bitmap(nodes, "h"))(F.col(h))
+    unsure = maybe_in(spark, bitmap(nodes, "h"))(F.col(h))
     alone = rows.where(~unsure).select(*docs.columns)
     some = rows.where(unsure).dropDuplicates([k, h])
     # of the rows that only look like one of a group nothing goes

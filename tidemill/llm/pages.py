@@ -1,23 +1,27 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is read into lines: the text of its blocks in page order, each with the kind of block and the
-containers it stands in. Within each host, pages are ordered by URL path; a page's partner is the
-one of its two neighbours that shares the longer path prefix. The line sequences of the partners are
-aligned by their longest common subsequence, and lines in it are deleted as furniture of the site.
-
-Two exact checks follow, since differencing alone can't tell an article that a site shows twice from a
-menu, nor see a menu whose words differ on every page. (1) A deleted line is restored if it is
-running text of an article (a heading or paragraph inside article or main). (2) Lines in containers
-that are never main text (nav, header, footer, aside, forms, scripts, and elements whose class, id
-or role names a sidebar, notice, advert, comment thread ...) are deleted, as is whatever stands
-outside the article where a page has one.
-
-Ordering and pairing move only host, path and 32-bit line hashes. Rows get global numbers by a range
-sort and are paired in blocks of ``BLOCK`` rows, each with its two bordering rows, so a hot host is
-spread over many tasks. Texts are packed and moved once.
+A page is read into lines: the text of its blocks in page order, each with the containers it stands in.
+Within each host, pages are ordered by URL path; a page's partner is the one of its two neighbours that
+shares the longer path prefix, of those whose lines differ from its own (a copy tells nothing). The line
+sequences of the partners are aligned by a longest common subsequence, and lines in it are deleted as
+furniture of the site.
+
+Two checks follow, since differencing alone can't tell an article that a site shows twice from a menu, nor
+see a menu whose words differ on every page. (1) Where a page marks its article (article, main), a deleted
+line inside it is restored, and what stands outside goes; elsewhere differencing decides alone. (2) Lines
+in containers that are never main text (nav, header, footer, aside, forms, scripts, and elements whose
+class, id or role names a sidebar, notice, advert, comment thread ...) go.
+
+A page is parsed once; its lines are packed and held. Ordering and pairing move only host, path and 32-bit
+line hashes. Rows get global numbers by a range sort and are paired in blocks of ``BLOCK`` rows, each with
+its two bordering rows, so a hot host is spread over many tasks. Packed pages move only if they may have
+shared lines (a bitmap of fixed size tells).
 
 Defined results: a null html is an empty page, with empty text; a null or odd url forms the host ''; a
-host with one page has no partner, and only the checks apply; equal rows each come out.
+host with one page has no partner, and only the checks apply; equal rows each come out; other columns are
+ignored. Parsing takes time in proportion to a page's length, whatever its nesting; alignment up to the
+product of the partners' shared lines, in bounded memory: beyond ``CELLS`` it divides the longer page, which
+may choose another of several subsequences of the same length.
 """
 
 from __future__ import annotations
@@ -36,10 +40,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.cluster import held
+from tidemill.llm.cluster import bitmap, held, maybe_in
 from tidemill.llm.sharding import numbered
 
-BLOCK = 512
+BLOCK, CELLS = 512, 1 << 22
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -52,7 +56,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend option".split()
 )
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Names in class, id or role of containers that hold no main text.
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menus?|breadcrumbs?|sidebars?|side|widgets?|footers?|header|masthead|comments?|replies|reply|respond|disqus|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search\w*|share|sharing|social|related|recommend\w*|pager|pagination|copyright|toolbar|skip|complementary|contentinfo|navigation|hidden)(?:$|[\s_-])",
@@ -63,45 +66,69 @@ NAMES = re.compile(
 @dataclass
 class Line:
     text: str
-    prose: bool
     inside: bool
     furniture: bool
 
 
+class Stack:
+    """Open elements, with counts of what holds for the current place; each operation takes amortized constant time."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, tuple[bool, bool, bool]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.furniture = self.article = self.hidden = 0
+
+    def push(self, tag: str, furniture: bool, article: bool, hidden: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, (furniture, article, hidden)))
+        self.furniture, self.article, self.hidden = self.furniture + furniture, self.article + article, self.hidden + hidden
+
+    def close(self, index: int) -> None:
+        """Closes the element at the index and all inside it."""
+        while len(self.open) > index:
+            tag, (furniture, article, hidden) = self.open.pop()
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            self.furniture, self.article, self.hidden = self.furniture - furniture, self.article - article, self.hidden - hidden
+
+    def last(self, tag: str) -> int | None:
+        found = self.places.get(tag)
+        return found[-1] if found else None
+
+
+#: Blocks that a block's start tag closes, if one of them is the innermost open block.
+CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
+
+
 def lines_of(page: str) -> list[Line]:
     """Blocks of a page in order."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, article, hidden
+    stack = Stack()
     out: list[Line] = []
     buffer: list[str] = []
-    kind = [""]
-    state = [False, False, False]
-    parts = page.replace("\x00", "�")
+    page = page.replace("\x00", "\ufffd")
 
     def flush() -> None:
-        text = SPACES.sub(" ", "".join(buffer)).strip()
-        buffer.clear()
-        if text:
-            out.append(Line(text, kind[0] in PROSE, state[1], state[0]))
-
-    def settle() -> None:
-        state[:] = [any(x[1] for x in stack), any(x[2] for x in stack), any(x[3] for x in stack)]
-        kind[0] = next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "")
-
-    def close(index: int) -> None:
-        del stack[index:]
-        settle()
+        if buffer:
+            text = SPACES.sub(" ", "".join(buffer)).strip()
+            buffer.clear()
+            if text:
+                out.append(Line(text, stack.article > 0, stack.furniture > 0))
 
     def put(text: str) -> None:
-        if text and not state[2]:
+        if text and not stack.hidden:
             buffer.append(entities.unescape(text) if "&" in text else text)
 
-    at, n = 0, len(parts)
+    at, n = 0, len(page)
     while at < n:
-        m = TOKEN.search(parts, at)
+        m = TOKEN.search(page, at)
         if m is None:
-            put(parts[at:])
+            put(page[at:])
             break
-        put(parts[at : m.start()])
+        put(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -109,47 +136,54 @@ def lines_of(page: str) -> list[Line]:
                 put(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
+        block = tag in BLOCKS
         if m[1]:
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag in BLOCKS or tag == "br":
-                flush() if tag != "br" else put(" ")
-            if index is not None and not (tag not in BLOCKS and any(x[0] in BLOCKS for x in stack[index + 1 :])):
-                close(index)
+            if block:
+                flush()
+            elif tag == "br":
+                put(" ")
+            index = stack.last(tag)
+            # an inline element's end doesn't reach out of a block
+            if index is not None and (block or not stack.blocks or stack.blocks[-1] < index):
+                stack.close(index)
             continue
+        single = m[3].endswith("/")
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(parts, at)
-            at = end.end() if end else n
+            if not (single and tag in ("svg", "math")):
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
             put(" ")
             continue
         if tag in ("br", "wbr"):
             put(" " if tag == "br" else "")
             continue
-        if tag in BLOCKS:
+        if block:
             flush()
-            shut = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}.get(tag, ("p",))
-            while stack:
-                index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
-                if index is None or stack[index][0] not in shut:
-                    break
-                close(index)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+            shut = CLOSES.get(tag, ("p",))
+            while stack.blocks and stack.open[stack.blocks[-1]][0] in shut:
+                stack.close(stack.blocks[-1])
+        if tag in VOID or single and not block:
             continue
-        named = False
-        gone = tag in HIDDEN
+        named, gone = False, tag in HIDDEN
         if m[3] and not m[3].isspace():
             found = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])}
             words = " ".join(found.get(x, "") for x in ("class", "id", "role"))
             named = bool(words.strip()) and tag not in ("body", "html", "article", "main") and bool(NAMES.search(words))
             gone = gone or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-        article = tag in ("article", "main")
-        header = tag == "header" and not any(x[2] for x in stack)
-        stack.append((tag, tag in FURNITURE or named or header, article, gone))
-        settle()
+        header = tag == "header" and not stack.article
+        stack.push(tag, tag in FURNITURE or named or header, tag in ("article", "main"), gone)
     flush()
     return out
 
 
-def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _next_row(row: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The lengths of common subsequences with one line more, from those without it and where the line occurs."""
+    out = row.copy()
+    out[1:] = np.maximum(out[1:], np.where(same, row[:-1] + 1, 0))
+    return np.maximum.accumulate(out)
+
+
+def common(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> np.ndarray:
     """Which of a's lines are in a longest common subsequence of a and b."""
     hit = np.zeros(len(a), bool)
     lo, i, j = 0, len(a), len(b)
@@ -161,42 +195,35 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         hit[i] = True
     # lines that the other page lacks can't take part
     ia, jb = lo + np.flatnonzero(np.isin(a[lo:i], b[lo:j])), lo + np.flatnonzero(np.isin(b[lo:j], a[lo:i]))
-    if not len(ia) or not len(jb):
+    x, y = a[ia], b[jb]
+    if not len(x) or not len(y):
         return hit
-    x, y = a[ia].tolist(), b[jb].tolist()
-    if len(x) * len(y) <= 1 << 20:
-        table = [[0] * (len(y) + 1)]
-        for p in x:
-            last, row = table[-1], [0]
-            for q, v in enumerate(y):
-                row.append(last[q] + 1 if p == v else max(last[q + 1], row[-1]))
-            table.append(row)
+    if len(x) == 1 or len(x) * len(y) <= cells:
+        table = [np.zeros(len(y) + 1, np.int32)]
+        for line in x:
+            table.append(_next_row(table[-1], y == line))
         p, q = len(x), len(y)
         while p and q:
-            if x[p - 1] == y[q - 1]:
-                hit[ia[p - 1]] = True
-                p, q = p - 1, q - 1
-            elif table[p - 1][q] >= table[p][q - 1]:
+            if table[p][q] == table[p - 1][q]:
                 p -= 1
-            else:
+            elif table[p][q] == table[p][q - 1]:
                 q -= 1
+            else:
+                hit[ia[p - 1]] = True
+                p, q = p - 1, q - 1
         return hit
-    # long pages: divide by the middle of a (Hirschberg), in memory of one row
+    # long pages: divided by the middle of a (Hirschberg), in memory of one row
     half = len(x) // 2
 
-    def lengths(u: list, v: list) -> list[int]:
-        row = [0] * (len(v) + 1)
-        for p in u:
-            diagonal = 0
-            for q, value in enumerate(v):
-                diagonal, row[q + 1] = row[q + 1], diagonal + 1 if p == value else max(row[q + 1], row[q])
+    def lengths(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        row = np.zeros(len(v) + 1, np.int32)
+        for line in u:
+            row = _next_row(row, v == line)
         return row
 
-    head, tail = lengths(x[:half], y), lengths(x[half:][::-1], y[::-1])
-    cut = max(range(len(y) + 1), key=lambda q: head[q] + tail[len(y) - q])
-    ya = np.array(y, dtype=a.dtype)
-    hit[ia[:half]] = common(a[ia[:half]], ya[:cut])
-    hit[ia[half:]] = common(a[ia[half:]], ya[cut:])
+    cut = int(np.argmax(lengths(x[:half], y) + lengths(x[half:][::-1], y[::-1])[::-1]))
+    hit[ia[:half]] = common(x[:half], y[:cut], cells)
+    hit[ia[half:]] = common(x[half:], y[cut:], cells)
     return hit
 
 
@@ -212,15 +239,22 @@ def _line_hashes(lines: list[Line]) -> np.ndarray:
     return np.array([xxhash.xxh32_intdigest(x.text.encode("utf-8", "replace")) for x in lines], np.uint32).view(np.int32)
 
 
-def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host, path, line hashes, and packed all lines that can be in the text: [number, text, restored if shared]."""
+    pack = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        hosts, paths, found = [], [], []
+        hosts, paths, hashes, packed = [], [], [], []
         for url, page in zip(b.column("url").to_pylist(), b.column("page").to_pylist(), strict=True):
             host, path = address(url)
+            found = lines_of(page or "")
+            article = any(x.inside for x in found)
             hosts.append(host)
             paths.append(path)
-            found.append(_line_hashes(lines_of(page or "")).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), b.column("k"), b.column("h"), pa.array(found, pa.binary())], names=["host", "path", "k", "h", "lines"])
+            hashes.append(_line_hashes(found).tobytes())
+            left = [(i, x.text, x.inside) for i, x in enumerate(found) if keep(x, False, article)]
+            packed.append(pack.compress(json.dumps(left, ensure_ascii=False).encode("utf-8", "replace")))
+        arrays = [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), *(b.column(c) for c in ("i", "url", "k", "h", "kh")), pa.array(hashes, pa.binary()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["host", "path", "i", "url", "k", "h", "kh", "lines", "z"])
 
 
 def _prefix(a: str, b: str) -> int:
@@ -244,7 +278,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, r in enumerate(rows):
             if not r["own"]:
                 continue
-            near = [rows[x] for x in (i - 1, i + 1) if 0 <= x < len(rows) and rows[x]["host"] == r["host"]]
+            near = [rows[x] for x in (i - 1, i + 1) if 0 <= x < len(rows) and rows[x]["host"] == r["host"] and rows[x]["lines"] != r["lines"]]
             if not near:
                 continue
             partner = max(near, key=lambda x: _prefix(r["path"], x["path"]))
@@ -270,9 +304,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep(line: Line, shared: bool, has_article: bool) -> bool:
-    if shared and not (line.prose and line.inside):
-        return False
-    return not line.furniture and (line.inside or not has_article)
+    return not line.furniture and (line.inside if has_article else not shared)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,23 +312,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, counts = [], []
         for z, gone in zip(b.column("z").to_pylist(), b.column("gone").to_pylist(), strict=True):
-            found = [Line(*x) for x in json.loads(unpack.decompress(z))]
-            article = any(x.inside for x in found)
             shared = set(np.frombuffer(gone, np.int32).tolist()) if gone else ()
-            texts.append("\n\n".join(x.text for i, x in enumerate(found) if keep(x, i in shared, article)))
+            texts.append("\n\n".join(text for i, text, restored in json.loads(unpack.decompress(z)) if restored or i not in shared))
             counts.append(len(texts[-1]))
         yield pa.RecordBatch.from_arrays([b.column("i"), b.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["i", "url", "text", "n"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        z = [pack.compress(json.dumps([(x.text, x.prose, x.inside, x.furniture) for x in lines_of(page or "")], ensure_ascii=False).encode("utf-8", "replace")) for page in b.column("page").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("i"), b.column("url"), b.column("k"), b.column("h"), pa.array(z, pa.binary())], names=["i", "url", "k", "h", "z"])
-
-
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, url, text, n_chars)`` for every row."""
+    spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
     base = pages.select(
         F.col(id_col).alias("i"),
@@ -304,17 +328,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.xxhash64(F.col(id_col), F.col(url_col)).alias("k"),
         F.xxhash64(F.coalesce(F.col(html_col), F.lit(""))).alias("h"),
         F.col(html_col).alias("page"),
-    )
-    light = base.select("url", "page", "k", "h").mapInArrow(_light, "host string, path string, k long, h long, lines binary")
-    # held first: the range sort reads its rows twice, to sample and to deal them out
-    rows, _ = numbered(held(light), ["host", "path", "k", "h"], "g")
+    ).withColumn("kh", F.xxhash64("k", "h"))
+    parsed = held(base.mapInArrow(_parsed, f"host string, path string, i {kind}, url string, k long, h long, kh long, lines binary, z binary"))
+    rows, _ = numbered(parsed.select("host", "path", "k", "h", "lines"), ["host", "path", "k", "h"], "g")
     own = (F.col("g") / BLOCK).cast("long")
     side = F.when(F.col("g") % BLOCK == 0, own - 1).when(F.col("g") % BLOCK == BLOCK - 1, own + 1)
     dealt = rows.withColumn("block", F.explode(F.array_compact(F.array(own, side)))).withColumn("own", F.col("block") == own)
-    parts = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(parts, "block").sortWithinPartitions("block", "g")
-    gone = dealt.mapInArrow(_shared, "k long, h long, gone binary").groupBy("k", "h").agg(F.max("gone").alias("gone"))
-    packed = base.mapInArrow(_packed, f"i {kind}, url string, k long, h long, z binary")
-    out = packed.join(gone.hint("shuffle_merge"), ["k", "h"], "left").select("i", "url", "z", "gone")
-    out = out.mapInArrow(_extract, f"i {kind}, url string, text string, n long")
+    gone = held(dealt.mapInArrow(_shared, "k long, h long, gone binary").groupBy("k", "h").agg(F.max("gone").alias("gone")))
+    unsure = maybe_in(spark, bitmap(gone.select(F.xxhash64("k", "h").alias("kh")), "kh"))(F.col("kh"))
+    alone = parsed.where(~unsure).select("i", "url", "z", F.lit(None).cast("binary").alias("gone"))
+    some = parsed.where(unsure).join(gone.hint("shuffle_merge"), ["k", "h"], "left").select("i", "url", "z", "gone")
+    out = alone.unionByName(some).mapInArrow(_extract, f"i {kind}, url string, text string, n long")
     return out.select(F.col("i").alias(id_col), F.col("url").alias(url_col), F.col("text"), F.col("n").alias("n_chars"))

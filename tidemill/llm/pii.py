@@ -1,20 +1,27 @@
 """Personal data by boosted trees over overlapping candidate spans, with DataFrame functions alone.
 
 Base spans are the matches of four fixed patterns that pass their checks. High-recall generators
-propose further spans that may overlap them and each other: loose and obfuscated addresses, dotted
-quads inside longer runs, card-like digit groups and phone-like groups without a plus. Every
-candidate has small integer features of its format (digits, separators, Luhn, ranges ...) and context
-(cue words before it, neighbouring characters). Boosted trees score it; thresholds calibrated for each
-kind on held-out documents select the spans that are added. Among overlapping spans the better score
-wins, and base spans always stay.
-
-There are no labelled spans, so the trees learn from the base patterns: a candidate that is a base
-span is a positive, one that touches no base span a negative, and those that overlap one otherwise
-are left out. The training rows are counts of equal feature vectors over a documented sample of at
-most about ``SAMPLE`` documents; the feature space is finite, so what comes to the driver is bounded.
+propose further spans that may overlap them and each other: loose and obfuscated addresses, dotted quads
+that are defanged or stand inside longer runs, card-like digit groups with any separators and phone-like
+groups without a plus. Every candidate has small integer features of its format (digits, groups,
+separators, Luhn, marks ...) and context (cue words before it, neighbouring characters). Boosted trees
+score it; thresholds calibrated for each kind on held-out rows select the spans that are added. Among
+overlapping spans the better score wins, and base spans always stay.
+
+The labels are planted, not taken from the base patterns: into pieces of the corpus' own texts go spans of
+the forms in ``FORMS``, which the base patterns miss (addresses with (at) and dot, defanged quads, cards
+with other separators or after another number, phones without a plus), and decoys of the forms in
+``DECOYS`` (dates, versions, sums, card-like numbers that fail Luhn, sites after "at" ...). A candidate
+that equals a planted span is a positive; one that touches a decoy, or a span of another kind, a negative;
+candidates that the texts had before are not labelled and left out. About ``ROWS`` such pieces are made,
+of at most ``SAMPLE`` documents and more of each where there are fewer (a documented bound), so that fit
+and thresholds do not depend on the corpus' size. Half of the rows fit, half calibrate. What comes to the
+driver are counts of equal feature vectors, no more than candidates in those rows.
 All texts are scored, whole, in one pass of native expressions without a shuffle.
 
-Defined results: a null text is empty and has no spans. Offsets are code points, end exclusive.
+Defined results: a null text is empty and has no spans; an empty table has no model, which adds nothing;
+rows are judged alone, so equal rows have equal spans; other columns are ignored. Offsets are code points,
+end exclusive.
 """
 
 from __future__ import annotations
@@ -26,8 +33,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.cluster import held
+
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, TREES, DEPTH, RATE = 20_000, 12, 3, 0.4
+SAMPLE, ROWS, TREES, DEPTH, RATE = 12_000, 12_000, 20, 4, 0.4
 #: Sizes of the blocks of running totals and of the pieces of a text; a place after any.
 BLOCK, PIECE, FAR = 32, 256, (1 << 31) - 1
 #: Proposals are at most 700 characters and those of one kind never overlap, so that those that overlap
@@ -44,17 +53,40 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}+){1,8}+",
-    "ip": r"(?<![0-9])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+|00)?[(]?[0-9]{2,4}[)]?(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])",
+    "email": r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}+(?:\x20?(?:@|\(at\)|\[at\])\x20?[A-Z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Z0-9-]{1,63}+){1,8}+|\x20at\x20[A-Z0-9-]{1,63}+(?:(?:\x20dot\x20|\(dot\)|\[dot\]|\.)[A-Z0-9-]{1,63}+){1,8}+)",
+    "ip": rf"(?<![0-9]){_OCTET}(?:(?:\.|\[\.\]|\x20?(?:\[dot\]|\(dot\))\x20?){_OCTET}){{3}}(?![0-9])",
+    "card": r"(?<![0-9])(?:3[0-9]{3}[\x20.-]?[0-9]{6}[\x20.-]?[0-9]{5}|(?:[0-9]{4}[\x20._/-]?){3}[0-9]{1,7})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+|00)?[(]?[0-9]{2,4}[)]?(?:[\x20./-]?[0-9]{2,4}){2,4}(?![0-9])",
 }
 #: A cheap test that a text can have a match of the kind at all.
-HINTS = {"email": ("@", "(at)", "[at]"), "phone": ("+",)}
-CUES = {"email": r"(?i)mail|contact|@", "ip": r"(?i)\bip\b|host|server|addr", "card": r"(?i)card|visa|master|amex|credit|pay", "phone": r"(?i)phone|tel|call|mobile|fax|contact"}
-
-FEATURES = ("kind", "digits", "seps", "luhn", "lead", "cue", "before", "after", "octets", "varied", "long")
+BASE_HINTS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+"}
+HINTS = {"email": r"(?i)@|[(\[]at[)\]]|\x20at\x20", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
+CUES = {"email": r"(?i)mail|contact|@|write", "ip": r"(?i)\bip\b|host|server|addr", "card": r"(?i)card|visa|master|amex|credit|pay", "phone": r"(?i)phone|tel|call|mobile|fax|contact"}
+MARKS = r"(?i)\(at\)|\[at\]|\(dot\)|\[dot\]|\[\.\]"
+BARE = r"(?i)\x20at\x20|\x20dot\x20"
+DATE = r"^(?:(?:19|20)[0-9]{2}[./-]?[01][0-9][./-]?[0-3][0-9]|[0-3]?[0-9][\x20./-][0-3]?[0-9][\x20./-](?:19|20)[0-9]{2})(?:[^0-9]|$)"
+
+FEATURES = ("kind", "digits", "seps", "luhn", "lead", "cue", "before", "after", "octets", "varied", "long", "marks", "bare", "groups", "first", "last", "date", "paren", "tight")
+
+#: Planted spans. U and V stand for a drawn word, C for one with a capital, T for an ending, 0 for a digit, 9 for a digit but
+#: zero, q for a number below 256 and c for a check digit.
+FORMS = {
+    "email": ("U (at) V (dot) T", "U[at]V[dot]T", "U.V0 (at) V.T", "U @ V.T", "U0 at V dot T", "U [at] V . T", "U.V at U dot V dot T", "U(at)V(dot)T"),
+    "ip": ("q[.]q[.]q[.]q", "q.q.q[.]q", "q (dot) q (dot) q (dot) q", "q[dot]q[dot]q[dot]q"),
+    "card": ("9000.0000.0000.000c", "9000_0000_0000_000c", "9000/0000/0000/000c", "3700 000000 0000c", "3700000000 0000c", "9000 0000-0000.000c"),
+    "phone": ("(000) 0000-0000", "(090) 000-0000", "090-000-0000", "0049 90 0000000", "090 0000 0000", "090/0000000", "090.000.0000", "090 000 00 00", "0033 9 00 00 00 00"),
+}
+#: Cards after another number, which the base pattern joins to one run that fails.
+AFTER_NUMBER = "9000 0000 0000 000c"
+DECOYS = (
+    "2090-00-00", "20900000", "00.00.2090", "00/00/1990", "9 000 000", "90 000 000 000", "9.0.0.0.0", "9000 0000 0000 0000", "9000.0000.0000.0000", "9000000000000000", "9000000000", "U at V.T", "U at V. C", "U (at) V", "9000-9000",
+    "3700 000000 00000", "00:00:00", "90.00", "900-000", "0-900-00000-0", "q.q.q", "9000/9000/9000/9000", "90 90 90 90", "9000 9000", "U at V dot", "12 24 36 48 60",
+)
+WORDS = ("info", "anna", "office", "kim", "sales", "jo", "support", "peter", "web", "news", "post", "mail", "north", "blue", "home", "data")
+ENDINGS = ("com", "org", "net", "de", "fr", "es", "io", "co")
+BEFORE = {"email": ("mail ", "contact: ", "write to "), "ip": ("host ", "server ", "IP "), "card": ("card ", "Visa: ", "paid with "), "phone": ("tel ", "call ", "phone: "), "": ("no. ", "on ", "ref ")}
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -119,18 +151,13 @@ def passes(kind: str, m: Column) -> Column:
     return F.when(n.between(16, 19), F.call_function("luhn_check", digits_of(m))).otherwise(False)
 
 
-def _hinted(kind: str, text: Column, found: Column) -> Column:
-    hints = HINTS.get(kind)
-    test = F.rlike(text, F.lit("[0-9]")) if hints is None else None
-    for h in hints or ():
-        one = F.contains(text, F.lit(h))
-        test = one if test is None else test | one
-    return F.when(test, found).otherwise(F.array().cast("array<struct<m:string,s:int>>"))
+def _hinted(hint: str, text: Column, found: Column) -> Column:
+    return F.when(F.rlike(text, F.lit(hint)), found).otherwise(F.array().cast("array<struct<m:string,s:int>>"))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     def checked(kind: str) -> Column:
-        return F.filter(_hinted(kind, text, located(text, BASE[kind])), lambda x: passes(kind, x["m"]))
+        return F.filter(_hinted(BASE_HINTS[kind], text, located(text, BASE[kind])), lambda x: passes(kind, x["m"]))
 
     return {k: checked(k) for k in KINDS}
 
@@ -175,6 +202,15 @@ def _described(kind: str, pieces: Column, x: Column, proposed: int) -> Column:
         (m.rlike(r"^[0-9]+(\.[0-9]+){3}$") & octets_ok(F.when(m.rlike(r"^[0-9.]+$"), m).otherwise("0"))).cast("int").alias("octets"),
         F.least(F.size(F.array_distinct(F.split(d, ""))), F.lit(6)).alias("varied"),
         F.least((F.length(m) / 4).cast("int"), F.lit(12)).alias("long"),
+        F.least(F.regexp_count(m, F.lit(MARKS)), F.lit(8)).cast("int").alias("marks"),
+        F.least(F.regexp_count(m, F.lit(BARE)), F.lit(8)).cast("int").alias("bare"),
+        F.least(F.regexp_count(m, F.lit("[0-9]+")), F.lit(12)).cast("int").alias("groups"),
+        F.least(F.length(F.regexp_extract(m, "[0-9]+", 0)), F.lit(20)).cast("int").alias("first"),
+        F.least(F.length(F.regexp_extract(m, "([0-9]+)[^0-9]*$", 1)), F.lit(20)).cast("int").alias("last"),
+        F.rlike(m, F.lit(DATE)).cast("int").alias("date"),
+        F.contains(m, F.lit("(")).cast("int").alias("paren"),
+        # an address whose last part stands close to its dot
+        F.rlike(m, F.lit(r"[^\x20]\.[A-Za-z]{2,6}$")).cast("int").alias("tight"),
     )
 
 
@@ -186,8 +222,7 @@ def candidates(text: Column, pieces: Column, base: dict[str, Column]) -> Column:
     """
 
     def of(kind: str) -> Column:
-        hint = "email" if kind == "email" else "card"  # only digits are needed for the others
-        found = _hinted(hint, text, located(text, GENERATORS[kind]))
+        found = _hinted(HINTS[kind], text, located(text, GENERATORS[kind]))
         return F.concat(F.transform(base[kind], lambda x: _described(kind, pieces, x, 0)), F.transform(found, lambda x: _described(kind, pieces, x, 1)))
 
     def single(c: Column) -> Column:
@@ -271,7 +306,11 @@ def _grow(cells: list[tuple[tuple[int, ...], float, float]], depth: int) -> Tree
 
 
 def boost(cells: list[tuple[tuple[int, ...], int, int, int]]) -> Model:
-    """A model from rows (features, fold, positives, negatives): fold 0 fits, fold 1 calibrates."""
+    """A model from rows (features, fold, positives, negatives): fold 0 fits, fold 1 calibrates.
+
+    The threshold of a kind is the least score from which on the held-out rows reach the precision; a kind
+    without held-out positives adds nothing.
+    """
     fit = [(x, p, n) for x, fold, p, n in sorted(cells) if fold == 0]
     pos, neg = sum(p for _, p, _ in fit), sum(n for _, _, n in fit)
     if not pos:
@@ -295,15 +334,15 @@ def boost(cells: list[tuple[tuple[int, ...], int, int, int]]) -> Model:
             s = own[i][0]
             while i < len(own) and own[i][0] == s:
                 tp, seen, i = tp + own[i][1], seen + own[i][1] + own[i][2], i + 1
-            if seen and tp / (seen + 1) >= PRECISION:
+            if tp and tp / seen >= PRECISION:
                 bar = s
-        bars.append(max(bar, 0.0))
+        bars.append(bar)
     model.bars = tuple(round(b - 1e-6, 6) for b in bars)
     return model
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+def _prepared(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *more)
     rows = rows.withColumns({f"_{k}": c for k, c in base_spans(F.col("_t")).items()})
     rows = rows.withColumn("_p", _pieces(F.col("_t")))
     return rows.withColumn("_c", candidates(F.col("_t"), F.col("_p"), {k: F.col(f"_{k}") for k in KINDS})).drop("_p")
@@ -326,13 +365,69 @@ def _touch(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def _number(seed: Column, what: Column | str, below: int) -> Column:
+    """A drawn number, from a hash of the seed."""
+    return F.pmod(F.xxhash64(seed, F.lit(what) if isinstance(what, str) else what), F.lit(below))
+
+
+def _pick(seed: Column, what: Column | str, of: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, of)), (_number(seed, what, len(of)) + 1).cast("int"))
+
+
+def _written(form: Column, seed: Column) -> Column:
+    """A form with its letters drawn; a check digit makes all digits before it pass Luhn."""
+
+    def drawn(ch: Column, i: Column) -> Column:
+        word = _pick(seed, i, WORDS)
+        number = F.when(ch == "0", _number(seed, i, 10)).when(ch == "9", _number(seed, i, 9) + 1).when(ch == "q", _number(seed, i, 256)).cast("string")
+        return F.when(ch.isin("0", "9", "q"), number).when(ch.isin("U", "V"), word).when(ch == "C", F.initcap(word)).when(ch == "T", _pick(seed, i, ENDINGS)).when(ch != "c", ch).otherwise("")
+
+    def checked(body: Column) -> Column:
+        fits = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: F.call_function("luhn_check", F.concat(digits_of(body), c.cast("string"))))
+        return F.when(F.contains(form, F.lit("c")), F.concat(body, F.element_at(fits, 1).cast("string"))).otherwise(body)
+
+    return bound(F.array_join(F.transform(F.split(form, ""), drawn), ""), checked)
+
+
+def planted(docs: DataFrame, id_col: str, text_col: str, sample: int, rows: int) -> DataFrame:
+    """Pieces of the texts with one planted span each: (_id, _t, plant: struct<kind, s, e>), kind -1 for a decoy."""
     total = docs.count()
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     if total > sample:
-        docs = docs.where(draw < int(sample / total * (1 << 30)))
-    rows = _prepared(docs, id_col, text_col).withColumn("_f", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(2)).cast("int"))
-    marked = rows.select("_f", F.explode("_c").alias("c")).select("_f", "c", (F.col("c.proposed") == 0).alias("p")).where("p OR NOT c.touch")
+        keyed = keyed.where(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
+    each = -(-rows // max(1, min(total, sample)))
+    drawn = keyed.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(each)))).withColumn("seed", F.xxhash64("i", F.xxhash64("t"), "n"))
+    # a piece of the text at a drawn place, cut at its middle space
+    place = _number(F.col("seed"), "place", 1 << 30) % F.greatest(F.length("t") - 160, F.lit(1))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = held(drawn.repartition(parts, "seed").select("seed", F.split(F.substring("t", (place + 1).cast("int"), F.lit(160)), r"\s+").alias("words")))
+    seed = F.col("seed")
+    cases = [(i, form, "") for i, k in enumerate(KINDS) for form in FORMS[k]] + [(KINDS.index("card"), AFTER_NUMBER, "after")]
+    # as many decoys as spans
+    spans = len(cases)
+    cases += [(-1, form, "any") for form in DECOYS]
+    which = F.when(_number(seed, "decoy", 2) == 0, _number(seed, "form", spans)).otherwise(_number(seed, "form", len(DECOYS)) + spans).cast("int")
+    table = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(form).alias("form"), F.lit(lead).alias("lead")) for k, form, lead in cases])
+    drawn = held(drawn.select("seed", "words", F.element_at(table, which + 1).alias("x")))
+    own = F.lit("")
+    for i, k in enumerate(KINDS):
+        own = F.when(F.col("x.kind") == i, _pick(seed, "cue word", BEFORE[k])).otherwise(own)
+    # decoys stand after any cue, and after none that tells as often as not
+    other = F.when(_number(seed, "odd cue", 2) == 0, _pick(seed, "cue word", tuple(c for k in KINDS for c in BEFORE[k]))).otherwise(_pick(seed, "cue word", BEFORE[""]))
+    cue = F.when(F.col("x.lead") == "after", F.concat((_number(seed, "number", 90) + 10).cast("string"), F.lit(" ")))
+    cue = cue.when(_number(seed, "cue", 2) == 0, F.lit("")).when(F.col("x.lead") == "any", other).otherwise(own)
+    half = F.floor(F.size("words") / 2).cast("int")
+    left, right = F.array_join(F.slice("words", F.lit(1), half), " "), F.array_join(F.slice("words", half + 1, F.size("words")), " ")
+    made = held(drawn.select("seed", F.concat(left, F.lit(" "), cue).alias("before"), _written(F.col("x.form"), seed).alias("span"), F.concat(_pick(seed, "end", (" ", ". ", ", ", "; ", ") ")), right).alias("after"), "x.kind"))
+    plant = F.struct("kind", F.length("before").alias("s"), (F.length("before") + F.length("span")).alias("e"))
+    return held(made.select(seed.alias("_id"), F.concat("before", "span", "after").alias("_t"), plant.alias("plant")))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, rows: int = ROWS) -> Model:
+    made = planted(docs, id_col, text_col, sample, rows)
+    found = _prepared(made, "_id", "_t", "plant").withColumn("_f", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(2)).cast("int"))
+    marked = found.select("_f", "plant", F.explode("_c").alias("c")).where("NOT c.touch AND c.s < plant.e AND plant.s < c.e")
+    marked = marked.withColumn("p", F.expr("c.kind = plant.kind AND c.s = plant.s AND c.e = plant.e")).where("p OR c.kind != plant.kind")
     cells = marked.groupBy("_f", *[F.col(f"c.{x}").alias(x) for x in FEATURES]).agg(F.count_if("p").alias("p"), F.count_if(~F.col("p")).alias("n"))
     return boost([(tuple(r[x] for x in FEATURES), r["_f"], r["p"], r["n"]) for r in cells.collect()])
 

@@ -92,10 +92,11 @@ QUERIES: dict[str, Query] = {
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
-ds AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
-bs AS (SELECT DISTINCT q, item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT q, item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT r, doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT r, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+bs AS (SELECT DISTINCT q, item_id, least(len(w), 5) AS k, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT q, item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 n AS (SELECT q, count(*) AS n_item FROM bs GROUP BY q),
-hits AS (SELECT r, q, any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, count(*) AS n_shared FROM ds JOIN bs ON ds.s = bs.s GROUP BY r, q)
+hits AS (SELECT r, q, any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, count(*) AS n_shared FROM ds JOIN bs ON ds.s = bs.s AND ds.k = bs.k GROUP BY r, q)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM hits JOIN n ON hits.q = n.q WHERE n_shared >= 0.8 * n_item
 """
 
