@@ -2,15 +2,58 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+class Stages:
+    """Values that a plan computes once, as columns of projections one above the other.
+
+    While a Stages is in use (``with``), ``let`` puts its value into a column here, one projection above
+    the columns that the value refers to, so that whole rows stay in generated code. ``over`` adds the
+    projections to a frame.
+    """
+
+    def __init__(self, prefix: str) -> None:
+        self.prefix, self.place = prefix, re.compile(rf"\b{prefix}[0-9]+\b")
+        self.stages: list[dict[str, Column]] = []
+        self.stage_of: dict[str, int] = {}
+
+    def bind(self, value: Column) -> Column:
+        stage = max((self.stage_of[x] + 1 for x in self.place.findall(value._jc.toString())), default=0)
+        name = f"{self.prefix}{len(self.stage_of)}"
+        self.stage_of[name] = stage
+        while len(self.stages) <= stage:
+            self.stages.append({})
+        self.stages[stage][name] = value
+        return F.col(name)
+
+    def over(self, df: DataFrame) -> DataFrame:
+        for columns in self.stages:
+            df = df.withColumns(columns)
+        return df
+
+    def __enter__(self) -> Stages:
+        self._before = _stages.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _stages.reset(self._before)
+
+
+_stages: ContextVar[Stages | None] = ContextVar("stages", default=None)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of the value, which is computed once however often body uses it."""
+    stages = _stages.get()
+    if stages is not None:
+        return body(stages.bind(value))
     return F.element_at(F.transform(F.array(value), body), 1)
 
 

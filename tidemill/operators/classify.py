@@ -6,8 +6,8 @@ column, skip rules, then fields in target order. Warnings of cleaning count for
 right arity; warnings of a field's steps count up to the row's first error (with annotate: to the
 field's). Nothing depends on how rows are spread over partitions.
 
-A cell's chain is built from native expressions that bind each intermediate value once; only Unicode
-normalization and ``expr`` with Python text leave the JVM.
+A cell's chain is built from native expressions; every intermediate value is a column of a projection
+below those that use it. Only Unicode normalization and ``expr`` with Python text leave the JVM.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import numbers, text, times, values
-from tidemill.functions.outcome import Outcome, let
+from tidemill.functions.outcome import Outcome, Stages, let
 from tidemill.functions.pyexpr import python_expr
 from tidemill.plans.spec import Field, Pipeline, Step
 
@@ -38,11 +38,20 @@ def java_pattern(pattern: str) -> str:
 def first_seen(rows: DataFrame) -> DataFrame:
     """Adds first_row (least row number with equal cells) where rows repeat; null for others.
 
-    Counting is an aggregate with partial sums, and the join is by shuffle on the cells, so that one
-    row repeated very often is split over tasks instead of meeting in one.
+    Rows are grouped by two 64-bit hashes of their cells, so that only hashes and row numbers move, with
+    partial sums; the few groups of several rows are then compared by their cells. A row that is repeated
+    very often meets others of its kind only in sums.
     """
-    same = rows.where(~F.col("blank")).groupBy("fields").agg(F.min("row_number").alias("first_row"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(same, "fields", "left")
+    whole = F.to_json("fields")
+    keyed = rows.withColumns({"_h": F.xxhash64("fields"), "_g": F.xxhash64(whole, F.lit(1))})
+    twice = keyed.where(~F.col("blank")).groupBy("_h", "_g").agg(F.count("*").alias("_n")).where("_n > 1").select("_h", "_g")
+    again = keyed.where(~F.col("blank")).join(twice, ["_h", "_g"], "left_semi")
+    same = again.groupBy("_h", "_g", "fields").agg(F.min("row_number").alias("first_row"), F.count("*").alias("_n")).where("_n > 1")
+    # a pair of hashes stands for one row but in theory: the first of each kind is kept by its cells
+    kinds = same.groupBy("_h", "_g").agg(F.collect_list(F.struct("fields", "first_row")).alias("_kinds"))
+    found = keyed.join(kinds, ["_h", "_g"], "left")
+    first = F.when(~F.col("blank"), F.get(F.filter("_kinds", lambda x: x["fields"] == F.col("fields")), F.lit(0))["first_row"])
+    return found.withColumn("first_row", first).drop("_h", "_g", "_kinds")
 
 
 def cleaned(c: Column, raw: Column, plan: Pipeline, column: str) -> Column:
@@ -176,7 +185,9 @@ def classify(rows: DataFrame, plan: Pipeline, header: list[str] | None = None) -
     if p.unicode_normalization:
         d = d.withColumns({f"_n{i}": text.normalize(F.col(f"_r{i}"), p.unicode_normalization) for i in range(len(plan.columns))})
     got = "_n" if p.unicode_normalization else "_r"
-    d = d.withColumn("_cells", F.struct(*[cleaned(F.col(f"{got}{i}"), F.col(f"_r{i}"), plan, c).alias(f"c{i}") for i, c in enumerate(plan.columns)]))
+    with Stages("_a") as stages:
+        cells = [cleaned(F.col(f"{got}{i}"), F.col(f"_r{i}"), plan, c).alias(f"c{i}") for i, c in enumerate(plan.columns)]
+    d = stages.over(d).withColumn("_cells", F.struct(*cells))
 
     scripts = [f for f in plan.fields if f.steps and f.steps[0].op == "expr" and "python" in f.steps[0].args]
     if scripts:
@@ -187,23 +198,23 @@ def classify(rows: DataFrame, plan: Pipeline, header: list[str] | None = None) -
         # SQL text names source columns
         d = d.withColumns({c: F.col(f"_cells.c{i}.v") for i, c in enumerate(plan.columns) if c not in d.columns})
 
-    # cells, skip code and fields are each bound once: the row's expression stays linear in the spec
-    def from_cells(cells: Column) -> Column:
-        value = {c: cells[f"c{i}"]["v"] for i, c in enumerate(plan.columns)}
+    with Stages("_b") as stages:
+        cells = F.col("_cells")
+        value = {c: F.col(f"_cells.c{i}.v") for i, c in enumerate(plan.columns)}
         skip = _skip(plan, value.__getitem__)
         for f in scripts:
             skip = F.coalesce(skip, F.col(f"_x_{f.target}")["skip"])
+        skip = stages.bind(F.when(live, skip))
+        on = stages.bind(live & skip.isNull())
+        fields = {f"f{j}": stages.bind(F.when(on, chain(f, value))) for j, f in enumerate(plan.fields)}
+        row = _judged(plan, len(header), cells, value, skip, on, fields)
+    d = stages.over(d).withColumns({k: _pinned(row[k]) for k in ("status", "error", "skip_code", "warns", "changes", "out")})
+    return d.select("row_number", "fields", "status", F.when(F.col("again"), F.col("first_row")).alias("first_row"), "error", "skip_code", "warns", "changes", "out")
 
-        def from_skip(skip: Column) -> Column:
-            on = live & skip.isNull()
-            fields = F.struct(*[F.when(on, chain(f, value)).alias(f"f{j}") for j, f in enumerate(plan.fields)])
-            return let(fields, lambda fields: _judged(plan, len(header), cells, value, skip, on, fields))
 
-        return let(F.when(live, skip), from_skip)
-
-    # a condition on rand() keeps the planner from computing the row again in every filter above it
-    d = d.withColumn("_row", F.when(F.rand(0) >= 0, let(F.col("_cells"), from_cells)))
-    return d.select("row_number", "fields", "_row.status", F.when(F.col("again"), F.col("first_row")).alias("first_row"), "_row.error", "_row.skip_code", "_row.warns", "_row.changes", "_row.out")
+def _pinned(c: Column) -> Column:
+    """The column, into which no filter above is pushed: it would repeat all the stages below. Unused ones are still pruned."""
+    return F.when(F.rand(0) >= 0, c)
 
 
 def _skip(plan: Pipeline, value: Callable[[str], Column]) -> Column:
@@ -214,8 +225,8 @@ def _skip(plan: Pipeline, value: Callable[[str], Column]) -> Column:
     return skip
 
 
-def _judged(plan: Pipeline, width: int, cells: Column, value: dict[str, Column], skip: Column, on: Column, fields: Column) -> Column:
-    """struct<status, error, skip_code, warns, changes, out> of a row, from its cleaned cells and its fields."""
+def _judged(plan: Pipeline, width: int, cells: Column, value: dict[str, Column], skip: Column, on: Column, fields: dict[str, Column]) -> dict[str, Column]:
+    """status, error, skip_code, warns, changes and out of a row, from its cleaned cells and its fields."""
     p = plan.policies
     early = F.col("early")
     annotate = p.error_disposition == "annotate"
@@ -229,37 +240,33 @@ def _judged(plan: Pipeline, width: int, cells: Column, value: dict[str, Column],
     ragged = F.struct(F.lit("STR-02").alias("code"), F.lit("<row>").alias("column"), F.lit(None).cast("string").alias("value"), F.concat(F.size("fields").cast("string"), F.lit(f" fields instead of {width}")).alias("message"))
     error = F.when(early == "quarantined", ragged).when(on, error)
 
-    def with_error(error: Column) -> Column:
-        status = F.coalesce(early, F.when(skip.isNotNull(), "skipped").when(error.isNotNull(), "quarantined").otherwise("out"))
-        return let(status, lambda status: with_status(error, status))
-
-    def with_status(error: Column, status: Column) -> Column:
-        done = status == "out"
-        rendered = {f.target: x[j]["v"] for j, f in enumerate(plan.fields)}
-        notes = []
-        if p.formula_injection == "neutralize":
-            notes = [_warn(t, "ENC-08", done & F.coalesce(text.formula_leading(c, "=@\t\r"), F.lit(False))) for t, c in rendered.items()]
-            rendered = {t: text.neutralize_formula(c).value for t, c in rendered.items()}
-        parts = [
-            F.array_compact(F.array(_warn("<row>", "STR-06", F.col("blank")), _warn("<row>", "STR-05", F.col("again")))),
-            F.when(skip.isNotNull(), F.array(F.struct(F.lit("<row>").alias("column"), skip.alias("code")))),
-        ]
-        parts += [F.when(early.isNull(), _tagged(cells[f"c{i}"]["warns"], c)) for i, c in enumerate(plan.columns)]
-        reached = on
-        for j, f in enumerate(plan.fields):
-            parts.append(F.when(reached, _tagged(x[j]["warns"], f.source or f.target)))
-            reached = reached & ~hard[j]
-        if notes:
-            parts.append(F.array_compact(F.array(*notes)))
-        warns = F.concat(*[F.coalesce(part, F.array().cast(WARNS)) for part in parts])
-        changes = F.array().cast(CHANGES)
-        if annotate:
-            changed = [F.when(done & x[j]["code"].isNotNull(), F.struct(F.lit(f.target).alias("field"), F.lit("NULLED").alias("change"), x[j]["code"].alias("reason"))) for j, f in enumerate(plan.fields)]
-            changes = F.array_compact(F.array(*changed))
-        out = F.when(done, F.struct(*[c.alias(t) for t, c in rendered.items()]))
-        return F.struct(status.alias("status"), error.alias("error"), skip.alias("skip_code"), warns.alias("warns"), changes.alias("changes"), out.alias("out"))
-
-    return let(error, with_error)
+    failure = let(error, lambda x: x)
+    early_status = F.when(skip.isNotNull(), "skipped").when(failure.isNotNull(), "quarantined").otherwise("out")
+    status = let(F.coalesce(early, early_status), lambda x: x)
+    done = status == "out"
+    rendered = {f.target: x[j]["v"] for j, f in enumerate(plan.fields)}
+    notes = []
+    if p.formula_injection == "neutralize":
+        notes = [_warn(t, "ENC-08", done & F.coalesce(text.formula_leading(c, "=@\t\r"), F.lit(False))) for t, c in rendered.items()]
+        rendered = {t: text.neutralize_formula(c).value for t, c in rendered.items()}
+    parts = [
+        F.array_compact(F.array(_warn("<row>", "STR-06", F.col("blank")), _warn("<row>", "STR-05", F.col("again")))),
+        F.when(skip.isNotNull(), F.array(F.struct(F.lit("<row>").alias("column"), skip.alias("code")))),
+    ]
+    parts += [F.when(early.isNull(), _tagged(cells[f"c{i}"]["warns"], c)) for i, c in enumerate(plan.columns)]
+    reached = on
+    for j, f in enumerate(plan.fields):
+        parts.append(F.when(reached, _tagged(x[j]["warns"], f.source or f.target)))
+        reached = reached & ~hard[j]
+    if notes:
+        parts.append(F.array_compact(F.array(*notes)))
+    warns = F.concat(*[F.coalesce(part, F.array().cast(WARNS)) for part in parts])
+    changes = F.array().cast(CHANGES)
+    if annotate:
+        changed = [F.when(done & x[j]["code"].isNotNull(), F.struct(F.lit(f.target).alias("field"), F.lit("NULLED").alias("change"), x[j]["code"].alias("reason"))) for j, f in enumerate(plan.fields)]
+        changes = F.array_compact(F.array(*changed))
+    out = F.when(done, F.struct(*[c.alias(t) for t, c in rendered.items()]))
+    return {"status": status, "error": failure, "skip_code": skip, "warns": warns, "changes": changes, "out": out}
 
 
 def _tagged(codes: Column, column: str) -> Column:

@@ -59,18 +59,35 @@ def duplicate_ledger(classified: DataFrame) -> DataFrame:
     return classified.where("first_row IS NOT NULL").select("row_number", F.col("first_row").alias("first_seen_row"))
 
 
+#: Ranges of row numbers that are counted at once, and rows that one task orders.
+RANGES, FEW = 1024, 4096
+
+
 def abort_row(classified: DataFrame, plan: Pipeline, rows_in: int) -> tuple[int, str] | None:
     """Where the run stops and under which code: the first error with fail-fast, the first row beyond the budget.
 
-    The budget is passed by the k-th quarantined row, k = floor(percent of rows_in) + 1, which a
-    top-k by row number finds without any global running count.
+    The budget is passed by the k-th quarantined row, k = floor(percent of rows_in) + 1. Quarantined rows are
+    counted by ranges of row numbers, the range that holds the k-th is counted by smaller ranges in turn, and
+    only a range of at most ``FEW`` numbers is ordered: no more than ``RANGES`` counts come to the driver at once.
     """
-    bad = classified.where("status = 'quarantined'")
+    bad = classified.where("status = 'quarantined'").select("row_number", "error.code")
     if plan.policies.error_disposition == "fail-fast":
-        first = bad.agg(F.min_by(F.struct("row_number", "error.code"), "row_number")).first()[0]
+        first = bad.agg(F.min_by(F.struct("row_number", "code"), "row_number")).first()[0]
         return (first["row_number"], first["code"]) if first else None
     if rows_in < plan.policies.budget_min_rows:
         return None
     k = int(plan.policies.budget_percent * rows_in / 100) + 1
-    over = bad.orderBy("row_number").select("row_number").offset(k - 1).limit(1).collect()
-    return (over[0][0], "ERR-02") if over else None
+    low, high, n = bad.agg(F.min("row_number"), F.max("row_number"), F.count("*")).first()
+    if n < k:
+        return None
+    while high - low >= FEW:
+        width = -(-(high - low + 1) // RANGES)
+        place = F.expr(f"(row_number - {low}L) div {width}L").alias("place")
+        counts = sorted(tuple(r) for r in bad.where(F.col("row_number").between(low, high)).groupBy(place).agg(F.count("*")).collect())
+        for at, c in counts:
+            if k <= c:
+                low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+                break
+            k -= c
+    found = sorted(r[0] for r in bad.where(F.col("row_number").between(low, high)).select("row_number").collect())
+    return found[k - 1], "ERR-02"
