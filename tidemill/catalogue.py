@@ -110,7 +110,8 @@ def null_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", x["v"].alias("value"), F.array_join(x["warns"], ",").alias("warned"))
 
 
-@registered(r"""SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest, 'ENC-04,ENC-05,TYP-10' AS warned FROM documents WHERE length(text) > 0""")
+@registered(r"""SELECT doc_id, md5(nullif(kept, '')) AS digest, CASE WHEN kept IS NULL THEN '' ELSE CASE WHEN changed THEN 'ENC-03,' ELSE '' END || 'ENC-04,ENC-05,' || CASE kept WHEN '' THEN 'NUL-02' ELSE 'TYP-10' END END AS warned
+  FROM (SELECT doc_id, nfc_normalize(text) <> text AS changed, regexp_replace(nfc_normalize(text), '^\s+|\s+$', '', 'g') AS kept FROM documents)""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     dirty = F.concat(F.lit("\x07 "), F.col("text"), F.lit(" ​"))
@@ -119,13 +120,15 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(x["v"]).alias("digest"), F.array_join(x["warns"], ",").alias("warned"))
 
 
-@registered("SELECT doc_id, md5(nfc_normalize(substr(text, 1, 300))) AS digest FROM documents")
+@registered("SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
 def unicode_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text"), "NFD").alias("x"))
     return docs.select("doc_id", F.md5(text.normalize(F.col("x"))).alias("digest"))
 
 
-@registered("SELECT doc_id, md5(substr(text, 1, 300)) AS digest, true AS warned FROM documents WHERE regexp_matches(substr(text, 1, 300), '[à-ü]')")
+@registered(r"""SELECT doc_id, md5(CASE WHEN signed THEN text ELSE broken END) AS digest, coalesce(signed, false) AS warned FROM (
+  SELECT doc_id, text, regexp_matches(text, '[\x{80}-\x{ff}\x{400}-\x{47f}]') AND NOT contains(text, chr(65533)) AS signed,
+    array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: chr(CAST('0x' || b AS INTEGER))), '') AS broken FROM documents)""")
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return _table(spark, sf_dir, "documents").select("doc_id", text.repair_mojibake(broken).cell.alias("x")).select("doc_id", F.md5("x.v").alias("digest"), F.col("x.warn").alias("warned"))
