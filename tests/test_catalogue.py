@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["clean_orders", "disposition_annotate", "warnings_by_type", "error_budget", "row_error_records", "exact_duplicates", "to_datetime_utc", "clean_text", "expressions", "profile_dates", "profile_sentinels", "null_resolution"]
+NAMES = ["clean_orders", "disposition_annotate", "warnings_by_type", "error_budget", "row_error_records", "exact_duplicates", "to_datetime_utc", "clean_text", "expressions", "profile_dates", "profile_sentinels", "null_resolution", "profile_ids", "profile_structure", "profile_odd_cells"]
 
 
 @pytest.fixture(scope="module")

@@ -370,3 +370,35 @@ def profile_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(FULL + "SELECT CASE o_orderstatus WHEN 'O' THEN 'Y' WHEN 'F' THEN 'n' ELSE 'N' END AS t, count(*) AS c FROM live GROUP BY 1")
 def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.top_values(_cells(spark, sf_dir).where("col = 4")).select("t", "c")
+
+
+@registered(FULL + """SELECT count(*) AS digits, count(DISTINCT k) AS different, CAST(min(length(CAST(k AS VARCHAR))) AS INTEGER) AS narrowest, CAST(max(length(CAST(k AS VARCHAR))) AS INTEGER) AS widest FROM live""")
+def profile_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.column_facts(_cells(spark, sf_dir).where("col = 0")).select("digits", "different", "narrowest", "widest")
+
+
+@registered(CLASSED + """SELECT 'STR-02' AS id, count(*) AS n FROM base WHERE first_code = 'STR-02'
+UNION ALL SELECT 'STR-05', count(*) FROM base WHERE k % 29 <> 0
+UNION ALL SELECT 'STR-06', count(*) FROM base WHERE k % 29 = 0""")
+def profile_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every row twice: blank rows are no duplicates
+    rows = dirty_orders(spark, sf_dir)
+    once = profile.structure(rows, list(COLUMNS))
+    twice = profile.structure(rows.unionByName(rows), list(COLUMNS))
+    found = [(f.id, f.count) for f in once if f.id in ("STR-02", "STR-06")] + [(f.id, f.count) for f in twice if f.id == "STR-05"]
+    return spark.createDataFrame(found, "id string, n long")
+
+
+#: Cells of one kind each, dealt by key, and the counts that each kind adds to.
+ODD_CELLS = [
+    ("a\x07b", ["control"]), ("a\u200bb", ["invisible"]), ("e\u0301", ["denormal"]), ("\u00c3\u00a9", ["mojibake"]), ("=1+2", ["formula"]), ("   ", ["spaces"]), ("", ["empty"]), ("(12)", ["accounting-negative"]),
+    ("12%", ["percent-suffix"]), ("0042", ["digits", "leading_zero"]), ("1.234,56", ["european"]), ("2024-01-05 10:00:00", ["naive"]), ("2024-01-05T10:00:00Z", []), ("31/01/2024", ["dm", "dmy"]), ("plain", []),
+]
+ODD_COUNTS = sorted({c for _, counts in ODD_CELLS for c in counts})
+
+
+@registered("SELECT " + ", ".join(f"""count(CASE WHEN o_orderkey % {len(ODD_CELLS)} IN ({", ".join(str(i) for i, (_, counts) in enumerate(ODD_CELLS) if c in counts)}) THEN 1 END) AS "{c}\"""" for c in ODD_COUNTS) + " FROM orders")
+def profile_odd_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = (F.col("o_orderkey") % len(ODD_CELLS)).cast("int")
+    cells = _table(spark, sf_dir, "orders").select(F.lit(0).alias("col"), F.col("o_orderkey").alias("row_number"), F.array(*[F.lit(v) for v, _ in ODD_CELLS])[kind].alias("v"))
+    return profile.column_facts(cells).select(*[F.col(f"`{c}`") for c in ODD_COUNTS])

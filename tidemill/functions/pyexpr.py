@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import CodeType
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RESULT = "v string, code string, message string, col string, skip string, warns array<string>"
+NAMES = ("v", "code", "message", "col", "skip", "warns")
 
 
 class Skipped(Exception):
@@ -47,17 +50,25 @@ def render(value: object) -> str | None:
 def python_expr(source: str) -> Callable[[Column], Column]:
     """A function of the struct of cleaned cells; null in, null out. Any exception is ERR-07."""
 
-    @F.udf(RESULT)
-    def run(row):  # noqa: ANN001, ANN202
-        if row is None:
-            return None
+    def evaluate(code: CodeType | Exception, row: dict[str, str | None]) -> tuple:
         report = Report()
         try:
-            value = eval(source, {"rt": Toolbox}, {"row": row.asDict(), "report": report})  # noqa: S307
+            if isinstance(code, Exception):
+                raise code
+            value = eval(code, {"rt": Toolbox}, {"row": row, "report": report})  # noqa: S307
             return render(value), None, None, None, None, report.codes
         except Skipped as e:
             return None, None, None, None, e.code, report.codes
         except Exception as e:  # noqa: BLE001  whatever the expression raises is the row's error
             return None, "ERR-07", f"{type(e).__name__}: {e}", "<row>", None, report.codes
 
-    return run.asNondeterministic()
+    def run(rows: pa.Array) -> pa.Array:
+        # compiled once for each batch
+        try:
+            code: CodeType | Exception = compile(source.strip(), "<string>", "eval")
+        except Exception as e:  # noqa: BLE001  each row gets the error
+            code = e
+        found = [None if row is None else dict(zip(NAMES, evaluate(code, row), strict=True)) for row in rows.to_pylist()]
+        return pa.array(found, pa.struct([*((n, pa.string()) for n in NAMES[:-1]), (NAMES[-1], pa.list_(pa.string()))]))
+
+    return F.arrow_udf(run, RESULT).asNondeterministic()

@@ -86,7 +86,7 @@ def column_facts(cells: DataFrame) -> DataFrame:
     t = t.withColumn("nfc", text.normalize(v))
     return t.groupBy("col").agg(
         *[F.count_if(c).alias(k) for k, c in counts.items()], F.min(F.when(digits, F.length(x))).alias("narrowest"), F.max(F.when(digits, F.length(x))).alias("widest"),
-        F.approx_count_distinct(F.when(digits, x), 0.01).alias("different"),
+        F.count_distinct(F.when(digits, x)).alias("different"),
     )
 
 
