@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; it is written as Parquet to the shared
 folder and read again as the next stage's docs. All but the last return the columns of documents; the
-last returns the place of every row that is left.
+last returns the place of every row that is left. Stages that send texts to Python workers lower the
+session's bound on Arrow batches (``cluster.small_batches``), which stays lowered.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm.cluster import new_path
+from tidemill.llm.cluster import new_path, small_batches
 from tidemill.llm.decontaminate import without_items
 from tidemill.llm.mixing import mix, repeat_copies
 from tidemill.llm.near import keep_one
@@ -27,16 +28,19 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go; the others stay."""
+    small_batches(spark)
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays; SimHash candidates link at a Jaccard similarity of 0.8 over five-word shingles."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

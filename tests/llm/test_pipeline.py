@@ -1,5 +1,8 @@
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from tidemill.llm import decontaminate, toxicity
+from tidemill.llm import cluster, decontaminate, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +32,23 @@ def test_run_places_every_row_once(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r["row_number"] for r in rows) == list(range(len(rows))) and rows
     assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "decontamination"])
+def test_texts_go_to_workers_in_small_batches(spark, name):
+    # 12 MB of texts in one partition
+    texts = spark.range(0, 600, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 4000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes])})
+
+    before = spark.conf.get(cluster.BATCH_BYTES)
+    try:
+        for given, most in (("64m", cluster.BATCH), ("1m", 1 << 20)):
+            spark.conf.set(cluster.BATCH_BYTES, given)
+            dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+            got = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+            assert sum(got) >= 12_000_000 and max(got) <= most + 100_000
+    finally:
+        spark.conf.set(cluster.BATCH_BYTES, before)

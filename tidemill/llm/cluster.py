@@ -39,6 +39,22 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Bytes of texts that go to a Python worker at a time.
+BATCH = 2 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Cuts the session's Arrow batches at BATCH bytes from now on (Spark's own bound: 64 MB); a lower setting stays.
+
+    A batch is held several times over: in the JVM with the rows that wait for their results, in its Arrow
+    buffers, which grow by doubling, and in the worker.
+    """
+    have = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES))
+    if have > BATCH:
+        spark.conf.set(BATCH_BYTES, f"{BATCH}b")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names close to the given ones that the frame does not have in any case."""
     have = {c.lower() for c in df.columns}
